@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tessera.llm.risk_rules import op4_quality_rules
+from tessera.llm.toxic_segments import op5_toxicity
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
