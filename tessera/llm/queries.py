@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tessera.llm.risk_rules import op4_quality_rules
 from tessera.llm.toxic_segments import op5_toxicity
+from tessera.llm.vp_simhash import op7_simhash
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
