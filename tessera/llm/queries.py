@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tessera.llm.chunk_bpe import op3_bpe
+from tessera.llm.edit_counts import op1_token_counts
 from tessera.llm.risk_rules import op4_quality_rules
 from tessera.llm.toxic_segments import op5_toxicity
 from tessera.llm.vp_simhash import op7_simhash
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
