@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.chunk_bpe import op3_bpe
 from tessera.llm.edit_counts import op1_token_counts
 from tessera.llm.risk_rules import op4_quality_rules
+from tessera.llm.suffix_tree_lm import op9_lm_scores
 from tessera.llm.template_leaks import op6_decontaminate
 from tessera.llm.toxic_segments import op5_toxicity
 from tessera.llm.vp_simhash import op7_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
+    "op9_lm_scores": op9_lm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
