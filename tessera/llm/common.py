@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -79,3 +80,15 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
     jvm, path = spark.sparkContext._jvm, df._tessera_path
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of the text that tells rows of one id apart; constant where no id repeats and none is null."""
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 or doc_id is null")
+    return F.xxhash64(F.col("text").cast("string")) if repeated.limit(1).count() else F.lit(0).cast("long")

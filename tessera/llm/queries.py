@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.chunk_bpe import op3_bpe
 from tessera.llm.edit_counts import op1_token_counts
 from tessera.llm.risk_rules import op4_quality_rules
+from tessera.llm.suffix_index import op10_suffix_dedup
 from tessera.llm.suffix_tree_lm import op9_lm_scores
 from tessera.llm.template_leaks import op6_decontaminate
 from tessera.llm.toxic_segments import op5_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op9_lm_scores": op9_lm_scores,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
