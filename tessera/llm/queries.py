@@ -9,6 +9,7 @@ from tessera.llm.suffix_index import op10_suffix_dedup
 from tessera.llm.suffix_tree_lm import op9_lm_scores
 from tessera.llm.template_leaks import op6_decontaminate
 from tessera.llm.toxic_segments import op5_toxicity
+from tessera.llm.url_gbt import op8_url_filter
 from tessera.llm.vp_simhash import op7_simhash
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
     "op9_lm_scores": op9_lm_scores,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
