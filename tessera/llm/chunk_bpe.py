@@ -26,7 +26,7 @@ from tessera.llm import common, pretokens
 
 WINDOW, MEAN_BITS, LEAST, MOST = 32, 11, 256, 65_536
 #: Bounds of the broadcast dictionary, and the chunks a task remembers besides.
-DICTIONARY_CHUNKS, DICTIONARY_BYTES, CACHE_CHUNKS = 16_384, 16 << 20, 8_000
+DICTIONARY_CHUNKS, DICTIONARY_BYTES, CACHE_CHUNKS = 8_192, 8 << 20, 2_000
 
 
 def byte_weights() -> np.ndarray:
@@ -189,7 +189,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
             at = 0
             while at < len(texts):  # in slices, so that the ids of a batch of long texts stay small
                 upto, size = at, 0
-                while upto < len(texts) and size < 8 << 20:
+                while upto < len(texts) and size < 4 << 20:
                     size += len(texts[upto])
                     upto += 1
                 ids = [encode_text(codec, t, reuse, shared.value) for t in texts[at:upto]]
