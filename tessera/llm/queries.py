@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.chunk_bpe import op3_bpe
 from tessera.llm.edit_counts import op1_token_counts
+from tessera.llm.page_diff import op2_main_text
 from tessera.llm.risk_rules import op4_quality_rules
 from tessera.llm.suffix_index import op10_suffix_dedup
 from tessera.llm.suffix_tree_lm import op9_lm_scores
@@ -14,6 +15,7 @@ from tessera.llm.vp_simhash import op7_simhash
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_main_text": op2_main_text,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
