@@ -267,10 +267,13 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of ``docs``, and n_bytes, removed (array of struct start, stop: maximal byte spans) and kept (the remaining bytes)."""
+def deduplicated(spark: SparkSession, docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, and n_bytes, removed (array of struct start, stop: maximal byte spans) and kept.
+
+    ``kept`` holds the remaining bytes, or as text what of them is whole characters. Columns of ``docs`` with these names are replaced.
+    """
     common.prepare(spark)
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_bytes", "removed", "kept").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     mark = common.row_mark(docs)
     spans = repeated_spans(spark, docs.select("doc_id", mark.alias("th"), "text"), length)
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_spans"))
@@ -278,12 +281,12 @@ def deduplicated(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
     names = [c for c in joined.columns if c != "_spans"]
     text = names.index("text")
     span = "array<struct<start:int,stop:int>>"
-    schema = joined.select(*names, F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast(span).alias("removed"), F.lit(b"").alias("kept")).schema
+    schema = joined.select(*names, F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast(span).alias("removed"), F.lit("" if as_text else b"").alias("kept")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, own = common.bytes_of(batch.column(text)), [merged(s) for s in batch.column(len(names)).to_pylist()]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        added = [pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for s in own], kind), pa.array([cut(t, s) for t, s in zip(texts, own)], pa.binary())]
+        added = [pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for s in own], kind), pa.array([cut(t, s).decode("utf-8", "ignore") if as_text else cut(t, s) for t, s in zip(texts, own)], pa.string() if as_text else pa.binary())]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*names, "n_bytes", "removed", "kept"])
 
     return common.map_batches(joined.select(*names, "_spans"), run, schema)
