@@ -16,7 +16,7 @@ IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
 
 
 def decoded(row: dict | None) -> np.ndarray | None:
-    return None if row is None or row["data"] is None else np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
+    return None if row is None or row["data"] is None else np.frombuffer(row["data"], np.uint8).reshape(int(row["height"]), int(row["width"]), int(row["channels"]))
 
 
 def encoded(image: np.ndarray | None) -> dict | None:
@@ -233,4 +233,4 @@ def map_images(df: DataFrame, fn: Callable[[np.ndarray | None, object], np.ndarr
             columns[at] = pa.array(out, kind)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes))

@@ -108,4 +108,5 @@ def collated(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row a batch, with the named columns as arrays in the order of pos; a batch is as large as its sampler made it."""
     items = F.array_sort(F.collect_list(F.struct("pos", *columns)))
     grouped = rows.groupBy("batch_id").agg(items.alias("_items"))
-    return grouped.select("batch_id", *[F.transform("_items", lambda s, c=c: s[c]).alias(c) for c in columns])
+    field = lambda c: F.transform("_items", lambda s: s[c])
+    return grouped.select("batch_id", *[field(c).alias(c) for c in columns])

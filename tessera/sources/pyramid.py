@@ -41,13 +41,12 @@ def read_regions(plan: DataFrame, cells: DataFrame, cell: int, outside: int = 23
 
     def assemble(group: pd.DataFrame) -> pd.DataFrame:
         r = group.iloc[0]
-        known = [images.decoded(x) for x in group["image"] if x is not None]
-        depth = known[0].shape[2] if known else 3
+        cells_found = [images.decoded(x) if isinstance(x, dict) else None for x in group["image"]]
+        depth = next((c.shape[2] for c in cells_found if c is not None), 3)
         patch = np.full((int(r["read_height"]), int(r["read_width"]), depth), outside, np.uint8)
-        for row, col, raw in zip(group["row"], group["col"], group["image"]):
-            if raw is None:
+        for row, col, image in zip(group["row"], group["col"], cells_found):
+            if image is None:
                 continue
-            image = images.decoded(raw)
             y, x = int(row) * cell - int(r["top"]), int(col) * cell - int(r["left"])
             y0, x0, y1, x1 = max(0, y), max(0, x), min(patch.shape[0], y + image.shape[0]), min(patch.shape[1], x + image.shape[1])
             if y1 > y0 and x1 > x0:
