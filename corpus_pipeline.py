@@ -7,7 +7,7 @@ are kept. Rows with null texts pass the filters as empty texts; a document whose
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunk_bpe, common, suffix_index, template_leaks, toxic_segments, vp_simhash
@@ -16,41 +16,50 @@ from tessera.llm import chunk_bpe, common, suffix_index, template_leaks, toxic_s
 TOXIC = 0.7
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds _mark, which tells rows of one id apart."""
-    return docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _mark (tells rows of one id apart), and all columns but the text in _rest, where no name can clash."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_mark"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
+
+
+def _unpacked(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    return rows.select(*[changed.get(c, F.col("text") if c == "text" else F.col("_rest").getField(c)).alias(c) for c in names])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the model learns from the labelled ones among them."""
     common.prepare(spark)
-    model = toxic_segments.fit(spark, docs, common.table(spark, sf_dir, "labels"))
-    return toxic_segments.with_scores(docs, model).where(F.col("_score") < TOXIC).drop("_score", "_passages")
+    rows = _packed(docs)
+    model = toxic_segments.fit(spark, rows, common.table(spark, sf_dir, "labels"))
+    return _unpacked(toxic_segments.with_scores(rows, model).where(F.col("_score") < TOXIC), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id (equal ids: the smallest text hash; equal rows: one)."""
     groups = vp_simhash.near_duplicates(spark, docs)
-    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first"))
+    own = F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")
+    first = groups.groupBy("component_id", own).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
-    text = F.col("text").cast("string")
-    out = docs.withColumn("_mark", F.xxhash64(text)).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_th")), "left_semi")
+    out = _packed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_th")), "left_semi")
     if groups.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "_mark"])
-    return out.drop("_mark")
+    return _unpacked(out, docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the byte strings that repeat; a character cut in two goes as a whole."""
-    cut = suffix_index.deduplicated(spark, docs.select("*", F.col("text").isNull().alias("_null")), as_text=True)
-    out = cut.withColumn("text", F.when(~F.col("_null"), F.col("kept"))).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """All documents without the byte strings that repeat; a character cut in two goes as a whole, and n_chars follows."""
+    cut = suffix_index.deduplicated(spark, _packed(docs).drop("_mark"), as_text=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return _unpacked(cut, docs.columns, **changed)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that leak no benchmark item."""
     leaking = template_leaks.leaking_documents(spark, docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    return _keyed(docs).join(leaking, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_th")), "left_anti").drop("_mark")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    out = _packed(docs).withColumn("_mark", mark).join(leaking, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_th")), "left_anti")
+    return _unpacked(out, docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def recount(spark: SparkSession, grown: DataFrame, edits: DataFrame | Callable[[
     derive = None if isinstance(edits, DataFrame) else edits
     if derive is None:
         wanted = edits.where("doc_id is not null and start is not null and end is not null")
-        listed = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("new"))).alias("edits"))
+        listed = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("new"))).alias("edits"))
         rows = rows.join(listed, "doc_id", "left")  # one document's edits come together, as its text does
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

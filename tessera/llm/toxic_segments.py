@@ -243,7 +243,8 @@ def passages(docs: DataFrame, model: Model, max_e: float = 0.05) -> DataFrame:
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs``, and n_passages and score."""
+    """All columns of ``docs``, and _passages (how many are significant) and _score; columns of these names are replaced."""
+    docs = docs.drop("_passages", "_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     plain = docs.withColumn("text", F.col("text").cast("string")).select("*", F.lit(0).cast("long").alias("_passages"), F.lit(0.0).alias("_score"))
