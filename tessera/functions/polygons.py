@@ -46,22 +46,41 @@ def overlap(rings: list[np.ndarray], box: tuple[float, float, float, float]) ->
     return area(clip(rings[0], *box)) - sum(area(clip(h, *box)) for h in rings[1:])
 
 
+def touched(ring: np.ndarray) -> list[tuple[float, float]]:
+    """The ring's points, with those of its other points that lie on an edge put into that edge."""
+    points = [tuple(p) for p in np.round(ring, 9).tolist()]
+    out = []
+    for p, q in zip(points, points[1:] + points[:1]):
+        out.append(p)
+        dx, dy = q[0] - p[0], q[1] - p[1]
+        length = dx * dx + dy * dy
+        on = set()
+        for r in points:
+            along = (r[0] - p[0]) * dx + (r[1] - p[1]) * dy
+            if 0 < along < length and abs((r[0] - p[0]) * dy - (r[1] - p[1]) * dx) <= 1e-9 * max(1.0, length) and r not in (p, q):
+                on.add((along, r))
+        out += [r for _, r in sorted(on)]
+    return out
+
+
 def parts(ring: np.ndarray) -> list[np.ndarray]:
     """Splits a clipped ring at the points it visits twice, so that bridged parts become rings of their own; parts without area go."""
     out, path, seen = [], [], {}
-    for p in map(tuple, np.round(ring, 9)):
+
+    def keep(loop: list[tuple[float, float]]) -> None:
+        if area(np.array(loop, float).reshape(-1, 2)) > 1e-9:
+            out.append(np.array(loop, float))
+
+    for p in touched(ring) if len(ring) else []:
         if p in seen:
             at = seen[p]
-            loop = path[at:]
-            if area(np.array(loop, float).reshape(-1, 2)) > 1e-9:
-                out.append(np.array(loop, float))
+            keep(path[at:])
             for q in path[at:]:
                 seen.pop(q, None)
             path = path[:at]
         seen[p] = len(path)
         path.append(p)
-    if area(np.array(path, float).reshape(-1, 2)) > 1e-9:
-        out.append(np.array(path, float))
+    keep(path)
     return out
 
 

@@ -36,7 +36,6 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     if df.count() <= WINDOW_ROWS:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
     placed = cut_lineage(df.sparkSession, global_rank(df, [*keys, *order], "_global"))
-    first = placed.groupBy(*keys).agg(F.min("_global").alias("_first"))
-    same = [placed[k].eqNullSafe(first[k]) for k in keys]
-    joined = placed.join(first, same)
-    return joined.select(*[placed[c] for c in df.columns], (F.col("_global") - F.col("_first")).alias(name))
+    first = placed.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min("_global").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return placed.join(first, same).select(*df.columns, (F.col("_global") - F.col("_first")).alias(name))
