@@ -71,7 +71,9 @@ def parts(ring: np.ndarray) -> list[np.ndarray]:
         if area(np.array(loop, float).reshape(-1, 2)) > 1e-9:
             out.append(np.array(loop, float))
 
-    for p in touched(ring) if len(ring) else []:
+    if len(ring) < 6:  # too few points to touch itself
+        return [ring] if area(ring) > 1e-9 else []
+    for p in touched(ring):
         if p in seen:
             at = seen[p]
             keep(path[at:])

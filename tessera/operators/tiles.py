@@ -80,9 +80,10 @@ def tile_polygons(annotations: DataFrame, size: int, overlap: int = 0, share: fl
                 for x in range(x1, x2, step):
                     for y in range(y1, y2, step):
                         box = (x, y, x + size, y + size)
-                        covered = polygons.overlap(points, box) / (size * size)
+                        clipped = polygons.clip(points[0], *box)
+                        covered = (polygons.area(clipped) - sum(polygons.area(polygons.clip(h, *box)) for h in points[1:])) / (size * size)
                         if not full_coverage or covered >= share:
-                            masks = polygons.parts(polygons.clip(points[0], *box))
+                            masks = polygons.parts(clipped)
                             out.append((i, label, x, y, size, covered, [[{"x": a, "y": b} for a, b in m.tolist()] for m in masks]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names=["id", "label", "x", "y", "size", "covered", "mask_rings"])
 
