@@ -123,7 +123,7 @@ def certify(counts: list[tuple[float, int, int]], n_good: int, n_bad: int, risk:
     return best
 
 
-def fit(features: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.1) -> list[Cutoff]:
+def fit(features: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> list[Cutoff]:
     """Certified cutoffs by stratum and rule, from all labelled documents that pass the base rule."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("_q")).where("doc_id is not null and _q is not null").groupBy("doc_id").agg(F.min("_q").alias("_q"))
     held = features.where(~F.col("base_failed")).join(known, "doc_id")
@@ -151,7 +151,7 @@ def judge(features: DataFrame, cutoffs: list[Cutoff]) -> DataFrame:
     return features.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.1) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> DataFrame:
     """Every document with its counts and verdict."""
     common.prepare(spark)
     features = with_features(common.cut_lineage(spark, measures(docs)))
