@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-WIDTH, LEAST_WORDS, COVERAGE, AGREEMENT = 8, 5, 0.5, 0.8
+WIDTH, LEAST_WORDS, COVERAGE, AGREEMENT = 8, 5, 0.3, 0.8
 BROADCAST_ROWS = 500_000
 #: Units that count as a slot when they follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s min h hr hrs meter meters metre metres kilometer kilometers inch inches foot feet yard yards mile miles gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degrees"
