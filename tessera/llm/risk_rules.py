@@ -20,6 +20,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ GRID: dict[str, tuple[float, ...]] = {
 #: Languages that get a stratum of their own; the others share one.
 MAX_STRATA = 32
 
+UPPER = regex.compile(r"\p{Lu}")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
 
 
@@ -60,7 +62,7 @@ def measure(text: str) -> tuple[int, ...]:
                 if seen[w] > 1:
                     repeated += i + 3 - max(i, until)
                     until = i + 3
-    upper = sum(map(str.isupper, text)) if not text.isascii() else len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    upper = len(UPPER.findall(text)) if not text.isascii() else len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated, upper, marks
 
 
@@ -161,3 +163,35 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle_sql(risk: float = 0.02, delta: float = 0.1) -> str:
+    """The same rows in DuckDB's SQL: counts, exact tails, fixed-sequence choice and verdicts."""
+    grid = ", ".join(f"('{rule}', {i}, {c}::double)" for rule, cutoffs in GRID.items() for i, c in enumerate(cutoffs))
+    value = "case rule " + " ".join(f"when '{r}' then {r}" for r in GRID) + " end"
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
+w as (select r, doc_id, stratum, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from d),
+l as (select r, unnest(string_split(text, chr(10))) as line from d),
+dup as (select r, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
+t as (select r, u.i, words[u.i : u.i + 2] as win from w, unnest(range(1, len(words) - 1)) as u(i)),
+tc as (select r, i, count(*) over (partition by r, win) as many from t),
+rep as (select r, count(distinct i + v.k) as n_repeat_words from tc, (values (0), (1), (2)) as v(k) where many > 1 group by 1),
+m as (select r, doc_id, stratum, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+ coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) as n_upper, length(regexp_replace(text, '[^!?]', '', 'g')) as n_marks
+ from w left join dup using (r) left join rep using (r)),
+f as (select *, n_symbols / greatest(word_chars, 1) as symbol_ratio, n_dup_lines / greatest(n_words, 1) as dup_line_ratio, n_repeat_words / greatest(n_words, 1) as repeat_ratio,
+ n_upper / greatest(word_chars, 1) as upper_ratio, word_chars / greatest(n_words, 1) as mean_word_chars, n_marks / greatest(n_words, 1) as marks_per_word, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+known as (select doc_id, min(quality) as q from labels where doc_id is not null and quality is not null group by 1),
+held as (select f.*, q from f join known using (doc_id) where not base_failed),
+strata as (select stratum, count(*) filter (q = 1) as good from held group by 1 order by good desc, stratum limit {MAX_STRATA}),
+level as (select {delta} / greatest(1, count(*) * {len(GRID)}) as level from strata),
+g as (select * from (values {grid}) as x(rule, i, cutoff)),
+hits as (select stratum, rule, i, cutoff, count(*) filter (q = 1 and ({value}) >= cutoff) as fr, count(*) filter (q <> 1 and ({value}) >= cutoff) as br from held, g group by all),
+tails as (select h.*, s.good as n, case when s.good = 0 then 2 when h.fr >= s.good then 1
+ else (select sum(exp(lgamma(s.good + 1) - lgamma(j.j + 1) - lgamma(s.good - j.j + 1) + j.j * ln({risk}) + (s.good - j.j) * ln(1 - {risk}))) from unnest(range(0, h.fr + 1)) as j(j)) end as p from hits h join strata s using (stratum)),
+certified as (select t.*, br - 10 * fr as gain from tails t, level where not exists (select 1 from tails b where b.stratum = t.stratum and b.rule = t.rule and b.i <= t.i and b.p > level.level)),
+chosen as (select stratum, rule, cutoff from (select *, row_number() over (partition by stratum, rule order by gain desc, i) as k from certified) where k = 1 and gain > 0),
+failed as (select distinct f.r from f join chosen c using (stratum) where ({value}) >= cutoff)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from failed) as kept from f
+"""
