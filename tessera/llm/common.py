@@ -63,6 +63,16 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def hash_sample(df: DataFrame, n: int, size: int, *keys: str) -> DataFrame:
+    """The rows whose key hash lies below size / n of its range: ``size`` rows on average out of ``n``, all of them if there are fewer.
+
+    Needs no sort and sends nothing to the driver; the same keys are chosen however rows are dealt out.
+    """
+    if n <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int((1 << 40) * (size / n)))
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared checkpoint folder and reads it back.
 
