@@ -8,8 +8,8 @@ scores of clean text follow an extreme-value law: E = K n exp(-lambda S); lambda
 clean tokens and K is its maximum-likelihood value on clean training documents. A document's evidence is the
 sum of -log10 E over its segments with E < 1, turned into a probability by a logistic fit.
 
-Learning uses a bounded sample of labelled rows: at most ``MAX_CLEAN`` clean and ``MAX_TOXIC`` toxic documents, those
-with the smallest hash of the id. Scores see the text only.
+Learning uses a bounded sample of labelled rows, chosen by the hash of the id: on average ``MAX_CLEAN`` clean and ``MAX_TOXIC`` toxic
+documents, or all if there are fewer. Scores see the text only.
 
 Nulls: a null text is empty and scores as no evidence; a null id is scored like any other; labels with a null id or
 label are ignored, repeated labels are toxic if any is. Repeated rows are scored row by row. Without labels of both classes
@@ -121,9 +121,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic of the bounded training sample, exact copies once."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("_toxic")).where("doc_id is not null and _toxic is not null").groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
     known = known.where(common.crc_bucket(F.col("doc_id"), 3) != 1)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    few = known.where("_toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("_toxic <> 1").orderBy(*order).limit(MAX_CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id")  # at most MAX_TOXIC + MAX_CLEAN ids
+    known = known.withColumn("_toxic", (F.col("_toxic") == 1).cast("int"))
+    many = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    parts = [common.hash_sample(known.where(F.col("_toxic") == y), many.get(y, 0), most, "doc_id") for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    few = parts[0].unionByName(parts[1])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id")  # MAX_TOXIC + MAX_CLEAN ids on average at most
     return rows.withColumn("_copy", F.xxhash64("text")).dropDuplicates(["_copy", "_toxic"]).select("text", F.col("_toxic").alias("toxic"))
 
 
