@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +118,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(evidence)))))
 
 
+def likeness(raw: bytes) -> int:
+    """The least hash of a text's five-word shingles: equal for copies, and for near copies as often as their shingles agree."""
+    words = raw.lower().split()
+    return min((xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) - (1 << 63)
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the bounded training sample, exact copies once."""
+    """text and toxic of the bounded training sample; of copies and near copies mostly one, as their words would else look telling."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("_toxic")).where("doc_id is not null and _toxic is not null").groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
     known = known.where(common.crc_bucket(F.col("doc_id"), 3) != 1)
     known = known.withColumn("_toxic", (F.col("_toxic") == 1).cast("int"))
@@ -126,7 +133,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     parts = [common.hash_sample(known.where(F.col("_toxic") == y), many.get(y, 0), most, "doc_id") for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     few = parts[0].unionByName(parts[1])
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id")  # MAX_TOXIC + MAX_CLEAN ids on average at most
-    return rows.withColumn("_copy", F.xxhash64("text")).dropDuplicates(["_copy", "_toxic"]).select("text", F.col("_toxic").alias("toxic"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([likeness(t) for t in common.bytes_of(batch.column(0))], pa.int64())], names=["text", "toxic", "copy"])
+
+    return common.map_batches(rows.select("text", F.col("_toxic").alias("toxic")), run, "text string, toxic int, copy long").dropDuplicates(["copy", "toxic"]).select("text", "toxic")
 
 
 def count_units(rows: DataFrame) -> DataFrame:
