@@ -20,8 +20,8 @@ def per(annotations: DataFrame, keys: list[str], dimension: DataFrame, value: Co
 
 
 def grid(labels: DataFrame, files: DataFrame) -> DataFrame:
-    """Every label with every file; labels are a small dimension."""
-    return files.distinct().crossJoin(F.broadcast(labels.distinct()))
+    """Every label with every file: the product of two dimensions, which is the result itself; Spark broadcasts the smaller one if it is small."""
+    return files.distinct().crossJoin(labels.distinct())
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

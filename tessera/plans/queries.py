@@ -12,7 +12,7 @@ from tessera.operators import bags, files, graph, moments, samplers, stats, tile
 from tessera.plans.facade import create_batch_sampler
 from tessera.session import table
 from tessera.sources.fake import fake_dataset
-from tessera.sources.pyramid import per_resolution, planned, read_regions
+from tessera.sources.pyramid import per_resolution, planned, read_regions, thumbnails, tissue_masks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -795,6 +795,83 @@ def s16_slide_tiles(spark, sf_dir):
     return tiles.tile_rectangles(rects, 128, 32, 0.25, full_coverage=True).join(known, "file_key").select("id", "x", "y", "name_length")
 
 
+def _mapped(spark, sf_dir, step):
+    """A pixel step applied to colour images of 8 x 8, seeded by row: size and digest of the result."""
+    own = byte_images(spark, sf_dir).select("id", F.expr("flatten(transform(px, (v, i) -> array(v, (v + i) % 256, (v * 3) % 256)))").alias("px"))
+    rows = own.select("id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("data")).alias("image"))
+    out = images.map_images(rows, lambda im, key: step(im, images.generator(7, 0, key)))
+    return out.select("id", "image.height", "image.width", F.sha2("image.data", 256).alias("sha256"))
+
+
+@query("g6_sharpen")
+def g6_sharpen(spark, sf_dir):
+    return _mapped(spark, sf_dir, lambda im, rng: images.sharpened(im, rng.uniform(0, 0.5)))
+
+
+@query("g7_noise")
+def g7_noise(spark, sf_dir):
+    return _mapped(spark, sf_dir, images.noisy)
+
+
+@query("g8_stain")
+def g8_stain(spark, sf_dir):
+    return _mapped(spark, sf_dir, lambda im, rng: images.stain_shifted(im, rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1)) if rng.random() < 0.5 else images.hue_saturation(im, rng.uniform(-10, 10), rng.uniform(-10, 10)))
+
+
+@query("g9_geometry")
+def g9_geometry(spark, sf_dir):
+    return _mapped(spark, sf_dir, lambda im, rng: images.elastic(im, rng) if rng.random() < 0.5 else images.affine(im, rng.uniform(0.9, 1.1), 0.05, -0.05, rng.uniform(-30, 30), rng.uniform(-9, 9)))
+
+
+@query("g12_stain_densities")
+def g12_stain_densities(spark, sf_dir):
+    return _mapped(spark, sf_dir, lambda im, rng: images.stain_shifted(im, 0.1, -0.1))
+
+
+@query("e8_transform", f"with {IMAGES} select id, sha256(unhex(array_to_string(list_transform(px, lambda v: lpad(to_hex(255 - v), 2, '0')), ''))) as sha256 from im")
+def e8_transform(spark, sf_dir):
+    """A caller's transform of pixels: the negative."""
+    rows = byte_images(spark, sf_dir).select("id", as_image(F.col("px")).alias("image"))
+    return images.map_images(rows, lambda im, _: 255 - im).select("id", F.sha2("image.data", 256).alias("sha256"))
+
+
+@query("e12_filters", f"with {IMAGES} select id, sha256(unhex(array_to_string(list_transform(px, lambda v: lpad(to_hex(case when v > 200 then 200 else v end), 2, '0')), ''))) as sha256 from im")
+def e12_filters(spark, sf_dir):
+    """A caller's patch filter inside the tile chain."""
+    rows = byte_images(spark, sf_dir).select("id", as_image(F.col("px")).alias("image"))
+    return images.map_images(rows, lambda im, _: images.preprocessed(im, 8, filters=(lambda x: x.clip(max=200),))).select("id", F.sha2("image.data", 256).alias("sha256"))
+
+
+@query("t11_samples")
+def t11_samples(spark, sf_dir):
+    """Patches of all resolutions with the target's shape, and their ratio to the finest level."""
+    plan = _region_plan(spark, sf_dir)
+    patches = read_regions(plan, _cells(spark, sf_dir), 64)
+    return patches.join(plan.select("request", "resolution", "ratio"), ["request", "resolution"]).select("request", "resolution", "ratio", "patch.height", "patch.width")
+
+
+def _pyramids(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("file_key"), F.array(F.lit(0.25), F.lit(1.0), F.lit(4.0)).alias("spacings"))
+
+
+@query("t12_thumbnails", "select 'n' || n_nationkey as file_key, 2 as level, 4.0::double as real, 64 as height, 64 as width from nation")
+def t12_thumbnails(spark, sf_dir):
+    return thumbnails(_pyramids(spark, sf_dir), _cells(spark, sf_dir), 8.0).select("file_key", "level", "real", "image.height", "image.width")
+
+
+@query("t12_tissue_masks", "select 'n' || n_nationkey as file_key, (n_nationkey * 7 + 100) % 256 < 220 as tissue from nation")
+def t12_tissue_masks(spark, sf_dir):
+    out = tissue_masks(thumbnails(_pyramids(spark, sf_dir), _cells(spark, sf_dir), 8.0))
+    return out.select("file_key", F.hex(F.substring("image.data", 1, 1)).alias("first")).select("file_key", (F.col("first") == "FF").alias("tissue"))
+
+
+@query("s14_open_slides", "select 'n' || n_nationkey as file_key, 3 as n_levels, 21::bigint as n_cells from nation")
+def s14_open_slides(spark, sf_dir):
+    """What opening a slide tells: its levels and cells, without reading a pixel."""
+    cells = _cells(spark, sf_dir).groupBy("file_key").agg(F.count("*").alias("n_cells"))
+    return _pyramids(spark, sf_dir).select("file_key", F.size("spacings").alias("n_levels")).join(cells, "file_key")
+
+
 # ---- graphs ----
 
 CENTROIDS = "nodes as (select label as image, vec_id as node, embedding[1]::double as x, embedding[2]::double as y from embeddings)"

@@ -56,3 +56,24 @@ def read_regions(plan: DataFrame, cells: DataFrame, cell: int, outside: int = 23
         return pd.DataFrame([{"request": r["request"], "resolution": r["resolution"], "patch": images.encoded(patch)}])
 
     return found.groupBy("request", "resolution").applyInPandas(assemble, f"request long, resolution string, patch {images.IMAGE}")
+
+
+def thumbnails(slides: DataFrame, cells: DataFrame, spacing: float, margin: float = MARGIN) -> DataFrame:
+    """file_key, level, real (its spacing) and image: the whole level that serves a coarse spacing, put together from its cells."""
+    known = slides.withColumn("_c", chosen_level(F.col("spacings"), F.lit(float(spacing)), margin))
+    known = known.select("file_key", F.col("_c.level").alias("level"), F.get("spacings", F.col("_c.level")).alias("real"))
+
+    def assemble(group: pd.DataFrame) -> pd.DataFrame:
+        parts = {(int(r), int(c)): images.decoded(i) for r, c, i in zip(group["row"], group["col"], group["image"])}
+        rows, cols = (sorted({k[axis] for k in parts}) for axis in (0, 1))
+        whole = np.concatenate([np.concatenate([parts[r, c] for c in cols], axis=1) for r in rows])
+        first = group.iloc[0]
+        return pd.DataFrame([{"file_key": first["file_key"], "level": first["level"], "real": first["real"], "image": images.encoded(whole)}])
+
+    found = known.join(cells, ["file_key", "level"])  # a coarse level is a few cells
+    return found.groupBy("file_key").applyInPandas(assemble, f"file_key string, level int, real double, image {images.IMAGE}")
+
+
+def tissue_masks(thumbnail: DataFrame, white: int = 220) -> DataFrame:
+    """Thumbnails with a mask of one channel: 255 where some channel is darker than background."""
+    return images.map_images(thumbnail, lambda im, _: None if im is None else (im.min(axis=2, keepdims=True) < white).astype(np.uint8) * 255, key="file_key")
