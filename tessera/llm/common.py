@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import sys
 import types
@@ -76,20 +78,39 @@ def hash_sample(df: DataFrame, n: int, size: int, *keys: str) -> DataFrame:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared checkpoint folder and reads it back.
 
-    Cuts lineage as checkpoint() does, but keeps column pruning and compresses; survives lost executors.
+    Cuts lineage as checkpoint() does, but keeps column pruning and compresses; survives lost executors. Tables that are not
+    dropped before go when the driver's Python ends.
     """
     path = f"{checkpoint_folder(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
+    _left[path] = spark
     return back
 
 
+#: Tables written and not dropped yet.
+_left: dict[str, SparkSession] = {}
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Removes a table made by ``written`` once nothing reads it."""
-    jvm, path = spark.sparkContext._jvm, df._tessera_path
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _drop(spark, df._tessera_path)
+    _left.pop(df._tessera_path, None)
+
+
+@atexit.register
+def _drop_left() -> None:
+    """At the driver's end; a session that has stopped already can't delete any more."""
+    for path, spark in _left.items():
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):
+                _drop(spark, path)
 
 
 def release(spark: SparkSession) -> None:
