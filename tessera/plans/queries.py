@@ -251,9 +251,9 @@ def bag_slides(spark, sf_dir) -> DataFrame:
 
 @query(
     "s4_read_bags",
-    """select 'bag_' || label as slide_name, r.res as resolution, vec_id as instance, array_to_string(list_transform(case when r.res = 'features' then embedding[1:4] else embedding[5:8] end, lambda v: round(v::double, 5)::varchar), ',') as vec,
+    """select 'bag_' || label as slide_name, r.res as resolution, vec_id as instance, round(list_sum(list_transform(case when r.res = 'features' then embedding[1:4] else embedding[5:8] end, lambda v: v::double)), 6) as vec_sum,
  case when label < 7 then label - 1 else -100 end::int as labels, -100 as labels_group, (case when vec_id % 3 <> 0 then vec_id % 100 else -1 end)::double as x, (case when vec_id % 3 <> 0 then (vec_id % 100) * 2 else -1 end)::double as y,
- (label * 10.5)::double as survtime, (label % 2)::int as event from embeddings, (values ('features'), ('context')) as r(res)""".replace("array_to_string(list_transform(case when r.res = 'features' then embedding[1:4] else embedding[5:8] end, lambda v: round(v::double, 5)::varchar), ',') as vec", "round(list_sum(list_transform(case when r.res = 'features' then embedding[1:4] else embedding[5:8] end, lambda v: v::double)), 6) as vec_sum"),
+ (label * 10.5)::double as survtime, (label % 2)::int as event from embeddings, (values ('features'), ('context')) as r(res)""",
 )
 def s4_read_bags(spark, sf_dir):
     out = bags.read_bags(bag_slides(spark, sf_dir), instances(spark, sf_dir), ["features_target", "context"], base_label=1, survival=True)
@@ -301,7 +301,7 @@ def j3_label_fallback(spark, sf_dir):
     return bags.labelled_images(byte_images(spark, sf_dir).select(F.col("id").alias("index"), F.col("px").alias("images")), some).select("index", F.col("label").cast("int").alias("label"))
 
 
-@query("s11_items", f"with {IMAGES} select id, label::int as label, {TEXT.format(ROWS8)} as image, (list_sum(list_transform(px, lambda v: v::double / 255.0)))::double as scaled from im".replace("(list_sum(list_transform(px, lambda v: v::double / 255.0)))::double", "round(list_sum(list_transform(px, lambda v: v::double / 255.0)), 6)"))
+@query("s11_items", f"with {IMAGES} select id, label::int as label, {TEXT.format(ROWS8)} as image, round(list_sum(list_transform(px, lambda v: v::double / 255.0)), 6) as scaled from im")
 def s11_items(spark, sf_dir):
     own = byte_images(spark, sf_dir)
     scaled = F.round(F.aggregate(arrays.scaled(F.col("px")), F.lit(0.0), lambda a, v: a + v), 6)
@@ -567,7 +567,6 @@ r as (select c.*, l.spacing as real from c join levels l using (level))"""
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    wanted = (F.lit(0.05) + (F.col("s_suppkey") % 200) * F.lit(0.05)).cast("double")
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("cast(0.05 + (s_suppkey % 200) * 0.05 as double)").alias("wanted"))
     return rows.withColumn("spacings", F.array(F.lit(0.25), F.lit(1.0), F.lit(4.0))).withColumn("c", pyramid.chosen_level(F.col("spacings"), F.col("wanted")))
 
@@ -676,7 +675,10 @@ def g4_transpose(spark, sf_dir):
     return byte_images(spark, sf_dir).select("id", as_text(arrays.transposed(arrays.rows_of(F.col("px"), 8))).alias("image"))
 
 
-@query("g11_replace_background", f"with {IMAGES} select id, {TEXT.format('list_transform(range(0, 32), lambda i: case when px[2*i+1] = px[2*i+2] then [230, 230] else [px[2*i+1], px[2*i+2]] end)')} as pixels from im".replace("px[2*i+1] = px[2*i+2]", "px[2*i+1] // 64 = 0 and px[2*i+2] // 64 = 0").replace("else [px[2*i+1], px[2*i+2]]", "else [px[2*i+1] // 64, px[2*i+2] // 64]"))
+PAIRS = "list_transform(range(0, 32), lambda i: case when px[2*i+1] // 64 = 0 and px[2*i+2] // 64 = 0 then [230, 230] else [px[2*i+1] // 64, px[2*i+2] // 64] end)"
+
+
+@query("g11_replace_background", f"with {IMAGES} select id, {TEXT.format(PAIRS)} as pixels from im")
 def g11_replace_background(spark, sf_dir):
     pixels = arrays.rows_of(F.transform("px", lambda v: F.floor(v / F.lit(64)).cast("int")), 2)
     return byte_images(spark, sf_dir).select("id", as_text(arrays.replaced(pixels, [0, 0], [230, 230])).alias("pixels"))
@@ -757,7 +759,7 @@ def t13_rasterise(spark, sf_dir):
     return rectangles(spark, sf_dir).select("id", ((F.col("x2") - F.col("x1")) / 10).cast("int").alias("w"), ((F.col("y2") - F.col("y1")) / 10).cast("int").alias("h")).mapInPandas(count, "id long, pixels long")
 
 
-@query("t15_tile_corners", f"{TILES} select id, x, y, ((x + 64) * 0.5 * 0.25)::int - 16 as px, trunc((y + 64) * 0.5 * 0.25)::int - 16 as py from tiles".replace("((x + 64) * 0.5 * 0.25)::int", "trunc((x + 64) * 0.5 * 0.25)::int"))
+@query("t15_tile_corners", f"{TILES} select id, x, y, trunc((x + 64) * 0.5 * 0.25)::int - 16 as px, trunc((y + 64) * 0.5 * 0.25)::int - 16 as py from tiles")
 def t15_tile_corners(spark, sf_dir):
     own = tiles.with_centres(tiles.tile_rectangles(rectangles(spark, sf_dir), 128, 32))
     corner = lambda c: (F.col(c) * 0.5 * 0.25).cast("int") - 32 // 2
