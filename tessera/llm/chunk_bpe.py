@@ -146,10 +146,13 @@ def dictionary(spark: SparkSession, texts: DataFrame) -> list[str]:
             found = Counter(raw[a:b] for raw in common.bytes_of(batch.column(0)) for ends in (cuts(raw),) for a, b in zip([0, *ends], ends))
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(c) for c in found], pa.binary()), pa.array([len(c) for c in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["key", "size", "n"])
 
-    worth = texts.mapInArrow(count, "key binary, size long, n long").groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where("n > 1")
-    best = worth.orderBy(F.desc(F.col("size") * (F.col("n") - 1)), "key").limit(DICTIONARY_CHUNKS).collect()
+    counted = texts.mapInArrow(count, "key binary, size long, n long").groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where("n > 1")
+    worth = common.cut_lineage(spark, counted.withColumn("worth", F.col("size") * (F.col("n") - 1)))
+    all_worth = worth.agg(F.sum("worth")).first()[0] or 0
+    # shares of all savings: at most 8 * DICTIONARY_CHUNKS chunks can have one so large
+    best = worth.where(F.col("worth") * (8 * DICTIONARY_CHUNKS) >= all_worth).collect()
     keys, total = set(), 0
-    for r in best:
+    for r in sorted(best, key=lambda r: (-r["worth"], bytes(r["key"])))[:DICTIONARY_CHUNKS]:
         if total + r["size"] <= DICTIONARY_BYTES:
             keys.add(bytes(r["key"]))
             total += r["size"]
