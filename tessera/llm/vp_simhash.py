@@ -29,8 +29,8 @@ from tessera.llm import common
 from tessera.llm.components import components
 
 LEAF = 2048
-#: Fingerprints that shape the tree, and its greatest depth: at most 2**14 nodes are broadcast.
-SAMPLE, MAX_DEPTH = 50_000, 14
+#: Fingerprints that shape the tree, on average, and its greatest depth: at most 2**14 nodes are broadcast.
+SAMPLE, MAX_DEPTH = 20_000, 14
 
 
 def fingerprint(raw: bytes, width: int = 3) -> int:
@@ -155,7 +155,7 @@ def link(spark: SparkSession, fps: DataFrame, slack: int = 2) -> DataFrame:
     """Links (a, b) that span every component of the distinct fingerprints ``fps`` (fp) at distance <= slack."""
     n = fps.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / LEAF))))))
-    shape = [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
+    shape = sorted(r["fp"] for r in common.hash_sample(fps.select("fp"), n, SAMPLE, "fp").collect()) if depth else []
     tree = spark.sparkContext.broadcast(build(np.array(shape, np.int64).view(np.uint64), depth))
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
