@@ -1,8 +1,8 @@
 """URL verdicts: rules first, gradient-boosted trees on lexical features for the rest.
 
 Host and path are cut from the url by string functions. A rule ``host/path`` fits its host and all subdomains if the url's path starts with
-the rule's; the longest rule wins. Urls that a rule judges are the labelled ones. The trees are fitted on a bounded sample of them, at most
-``SAMPLE`` of each verdict (those with the smallest hash of the url), with these features: lengths, depth, digit and letter ratios, character
+the rule's; the longest rule wins. Urls that a rule judges are the labelled ones. The trees are fitted on a bounded sample of them, on average
+``SAMPLE`` of each verdict, chosen by the hash of the url, with these features: lengths, depth, digit and letter ratios, character
 entropy, counts of parameters, hyphens, dots and labels, and the smoothed share of blocked urls among the sample's urls with the same last
 host label and with the same first path segment. All others are judged by the fitted trees, written out as one SQL expression.
 
@@ -119,7 +119,8 @@ class UrlModel:
 def fit(spark: SparkSession, labelled: DataFrame) -> UrlModel:
     """Fits on rows (url, host, path, rest, label), label 1.0 for block; a bounded sample of them is used."""
     distinct = labelled.select("url", "host", "path", "rest", "label")
-    few = [distinct.where(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(SAMPLE) for y in (0.0, 1.0)]
+    many = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
+    few = [common.hash_sample(distinct.where(F.col("label") == y), many.get(y, 0), SAMPLE, "url") for y in (0.0, 1.0)]
     rows = common.cut_lineage(spark, with_features(few[0].unionByName(few[1])))
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("b")).first()
     n, blocked = total["n"], total["b"] or 0.0
