@@ -159,16 +159,18 @@ def all_runs(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_runs(spark: SparkSession, found: DataFrame) -> DataFrame:
     """The runs whose anchor occurs again: their columns, copies (equal runs), kinds (different runs of the anchor) and whether a run stands for its kind."""
-    again = found.groupBy("h").agg(F.count("*").alias("many")).where("many > 1").select("h")
+    # each step is written before the next joins it, so that every join is of plain tables and a hot anchor's rows can be split
+    again = common.cut_lineage(spark, found.groupBy("h").agg(F.count("*").alias("many")).where("many > 1").select("h"))
     kept = common.written(spark, found.join(again, "h"), "kept-runs")
     del again
     common.release(spark)
-    kinds = kept.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "at")).alias("first"))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    judged = kept.join(kinds.join(several, "h"), ["h", "sid"])
+    each = kept.groupBy("h", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "at")).alias("first"))
+    kinds = common.written(spark, each.join(each.groupBy("h").agg(F.count("*").alias("kinds")), "h"), "kinds")
+    judged = kept.join(kinds, ["h", "sid"])
     stands = F.struct("doc_id", "th", "at").eqNullSafe(F.col("first"))
     out = common.written(spark, judged.select("h", "sid", "doc_id", "th", "at", "n", "copies", "kinds", stands.alias("stands")), "runs")
     common.drop_written(spark, kept)
+    common.drop_written(spark, kinds)
     return out
 
 
