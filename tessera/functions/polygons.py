@@ -22,21 +22,52 @@ def centroid(ring: np.ndarray) -> tuple[float, float]:
     return float(((x + np.roll(x, -1)) * cross).sum() / (3 * cross.sum())), float(((y + np.roll(y, -1)) * cross).sum() / (3 * cross.sum()))
 
 
+Ring = list[tuple[float, float]]
+
+
+def half(ring: Ring, axis: int, bound: float, above: bool) -> Ring:
+    """The part of a ring on one side of an axis-parallel line."""
+    if not ring:
+        return ring
+    sign = 1.0 if above else -1.0
+    out = []
+    p = ring[-1]
+    a = sign * (p[axis] - bound)
+    for q in ring:
+        b = sign * (q[axis] - bound)
+        if (a > 0 > b) or (a < 0 < b):
+            t = a / (a - b)
+            out.append((p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t))
+        if b >= 0:
+            out.append(q)
+        p, a = q, b
+    return out
+
+
+def ring_area(ring: Ring) -> float:
+    """Unsigned area of a simple ring of plain tuples: rings of tiles are too short for arrays to pay."""
+    total, (px, py) = 0.0, ring[-1] if ring else (0.0, 0.0)
+    for x, y in ring:
+        total += px * y - x * py
+        px, py = x, y
+    return abs(total) / 2
+
+
+def clipped_columns(ring: Ring, xs: range, size: int) -> dict[int, Ring]:
+    """The part of a ring in every column of tiles: rows of one column are then cut from the column, not from the whole ring."""
+    return {x: half(half(ring, 0, x, True), 0, x + size, False) for x in xs}
+
+
+def clipped_rows(column: Ring, y: int, size: int) -> Ring:
+    return half(half(column, 1, y, True), 1, y + size, False)
+
+
 def clip(ring: np.ndarray, x1: float, y1: float, x2: float, y2: float) -> np.ndarray:
     """The part of a simple ring inside a box, half-plane by half-plane. Its area is exact; disconnected parts are joined by edges of no width."""
+    points = [tuple(p) for p in np.asarray(ring, float).tolist()]
     for axis, bound, above in ((0, x1, True), (0, x2, False), (1, y1, True), (1, y2, False)):
-        if not len(ring):
-            break
-        d = ring[:, axis] - bound if above else bound - ring[:, axis]
-        following, after = np.roll(ring, -1, axis=0), np.roll(d, -1)
-        out = []
-        for p, q, a, b in zip(ring, following, d, after):
-            if a >= 0:
-                out.append(p)
-            if (a > 0 > b) or (a < 0 < b):
-                out.append(p + (q - p) * (a / (a - b)))
-        ring = np.array(out, float).reshape(-1, 2)
-    return ring
+        points = half(points, axis, bound, above)
+    return np.array(points, float).reshape(-1, 2)
 
 
 def overlap(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> float:

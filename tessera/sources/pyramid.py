@@ -7,8 +7,11 @@ finer level than needed, and assembles one patch a request. Requests are one row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,23 +42,42 @@ def read_regions(plan: DataFrame, cells: DataFrame, cell: int, outside: int = 23
     touched = wanted.withColumn("row", F.explode(F.sequence(F.floor(F.col("top") / cell), last("top", "read_height")))).withColumn("col", F.explode(F.sequence(F.floor(F.col("left") / cell), last("left", "read_width"))))
     found = touched.join(cells.select("file_key", "level", "row", "col", "image"), ["file_key", "level", "row", "col"], "left")
 
-    def assemble(group: pd.DataFrame) -> pd.DataFrame:
-        r = group.iloc[0]
-        cells_found = [images.decoded(x) if isinstance(x, dict) else None for x in group["image"]]
-        depth = next((c.shape[2] for c in cells_found if c is not None), 3)
-        patch = np.full((int(r["read_height"]), int(r["read_width"]), depth), outside, np.uint8)
-        for row, col, image in zip(group["row"], group["col"], cells_found):
+    names = ["request", "resolution", "top", "left", "read_height", "read_width", "height", "width", "rescale", "row", "col", "image"]
+
+    def patch_of(rows: list[tuple]) -> dict:
+        _, _, top, left, read_height, read_width, height, width, rescale, *_ = rows[0]
+        parts = [(r[9], r[10], images.decoded(r[11])) for r in rows]
+        depth = next((p.shape[2] for _, _, p in parts if p is not None), 3)
+        patch = np.full((read_height, read_width, depth), outside, np.uint8)
+        for row, col, image in parts:
             if image is None:
                 continue
-            y, x = int(row) * cell - int(r["top"]), int(col) * cell - int(r["left"])
-            y0, x0, y1, x1 = max(0, y), max(0, x), min(patch.shape[0], y + image.shape[0]), min(patch.shape[1], x + image.shape[1])
+            y, x = row * cell - top, col * cell - left
+            y0, x0, y1, x1 = max(0, y), max(0, x), min(read_height, y + image.shape[0]), min(read_width, x + image.shape[1])
             if y1 > y0 and x1 > x0:
                 patch[y0:y1, x0:x1] = image[y0 - y : y1 - y, x0 - x : x1 - x]
-        if r["rescale"]:
-            patch = images.resized(patch, int(r["height"]), int(r["width"]))
-        return pd.DataFrame([{"request": r["request"], "resolution": r["resolution"], "patch": images.encoded(patch)}])
-
-    return found.groupBy("request", "resolution").applyInPandas(assemble, f"request long, resolution string, patch {images.IMAGE}")
+        return images.encoded(images.resized(patch, height, width) if rescale else patch)
+
+    def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple] = []
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.string(), kind))], names=["request", "resolution", "patch"])
+
+        for batch in it:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if own and own[0][:2] != r[:2]:
+                    out.append((*own[0][:2], patch_of(own)))
+                    own = []
+                own.append(r)
+            yield batch_of(out)
+        if own:
+            yield batch_of([(*own[0][:2], patch_of(own))])
+
+    dealt = found.select(*names).repartition("request", "resolution").sortWithinPartitions("request", "resolution")
+    return dealt.mapInArrow(assemble, f"request long, resolution string, patch {images.IMAGE}")
 
 
 def thumbnails(slides: DataFrame, cells: DataFrame, spacing: float, margin: float = MARGIN) -> DataFrame:
