@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chunk_bpe, common, suffix_index, template_leaks, toxic_segments, vp_simhash
+from tessera.llm import chunk_bpe, common, near_copies, suffix_index, template_leaks, toxic_segments
 
 #: A document is rejected as toxic from this score on.
 TOXIC = 0.7
@@ -35,10 +35,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id (equal ids: the smallest text hash; equal rows: one)."""
-    groups = vp_simhash.near_duplicates(spark, docs)
-    own = F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")
-    first = groups.groupBy("component_id", own).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first"))
+    """One document of each group of texts linked by a Jaccard similarity of 0.8 or more on 5-word shingles: that with the smallest id (equal ids: the smallest text hash; equal rows: one)."""
+    groups = near_copies.groups(spark, docs)
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
     out = _packed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_th")), "left_semi")
     if groups.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():

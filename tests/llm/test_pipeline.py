@@ -39,3 +39,17 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark):
     table = docs(spark, ["a b c d e", "a b c d e", "other words in here"])
     out = cp.near_duplicates(spark, table.unionByName(table), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 2]
+
+
+def test_near_duplicates_with_edits_go(spark):
+    rng = random.Random(21)
+    clean = [prose(rng, 200) for _ in range(30)]
+    copies = []
+    for t in clean:
+        words = t.split()
+        for i in (20, 90, 160):  # 15 of 196 shingles change: similarity 0.858
+            words[i] = "edited"
+        copies.append(" ".join(words))
+    halves = [" ".join(t.split()[:100]) + " " + prose(rng, 100) for t in clean]
+    out = cp.near_duplicates(spark, docs(spark, clean + copies + halves), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(30), *range(60, 90)]
