@@ -3,9 +3,10 @@
 Texts are made canonical with DataFrame functions only: numbers, the units behind them, and capitalised words inside sentences
 become typed placeholders; case, punctuation and symbols go. Windows of ``WIDTH`` canonical tokens (a whole item, if it has 5 to 7)
 are hashed and equi-joined with the benchmark's windows, which are broadcast if there are at most ``BROADCAST_ROWS`` of
-them and shuffled otherwise. Windows with fewer than half plain words are not used. A document leaks an item if at least ``COVERAGE`` of the
-item's windows occur in it and its slots are consistent: under one item every benchmark value stands for one and
-the same value of the document (at least ``AGREEMENT`` of the slot occurrences agree with the most frequent choice).
+them and shuffled otherwise. Windows with fewer than half plain words are not used. A document
+leaks an item if at least ``COVERAGE`` of the item's template windows, or of all its windows, occur in it and its slots are consistent: every
+benchmark value stands for one and the same value of the document (at least ``AGREEMENT`` of the slot occurrences agree with the most
+frequent choice), in the whole document or in one occurrence of the item that is covered as far itself.
 
 Items of fewer than five words are not searched, as they can't be told from common phrases. Items with equal templates and values form a class under their
 smallest id, so copies of an item don't multiply matches. Nulls: a null text is empty; rows with a null id are searched and come back with a
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -86,14 +87,16 @@ def benchmark_items(items: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(classes: DataFrame) -> DataFrame:
-    """item_id, n_windows, width, at (from 0), h, n_slots and the slots' values of every usable window."""
+    """item_id, n_windows, width, at (from 0), literal (hashed as it stands), h, n_slots (0 if literal) and the slots' values of every window."""
     at = F.explode(F.sequence(F.lit(1), F.col("n_windows"))).alias("_i")
     rows = classes.select("item_id", "n_windows", "width", "tokens", "values", at)
     own = rows.select("item_id", "n_windows", "width", (F.col("_i") - 1).alias("at"), F.expr("slice(tokens, _i, width)").alias("own"), F.expr("slice(values, _i, width)").alias("values"))
-    own = own.withColumn("n_slots", F.size(F.filter("own", is_slot))).where(2 * F.col("n_slots") <= F.col("width"))
-    hashed = [with_windows(own.where(F.col("width") == w).withColumn("tokens", F.col("own")), w) for w in range(LEAST_WORDS, WIDTH + 1)]
+    own = own.withColumn("n_slots", F.size(F.filter("own", is_slot)))
+    own = own.withColumn("literal", 2 * F.col("n_slots") > F.col("width")).withColumn("n_slots", F.when(F.col("literal"), 0).otherwise(F.col("n_slots")))
+    own = own.where("not literal")
+    hashed = [with_windows(own.where(F.col("width") == w).withColumn("tokens", F.when(F.col("literal"), F.col("values")).otherwise(F.col("own"))), w) for w in range(LEAST_WORDS, WIDTH + 1)]
     usable = reduce(DataFrame.unionByName, hashed).withColumn("h", F.col("windows")[0])
-    return usable.select("item_id", "n_windows", "width", "at", "h", "n_slots", F.when(F.col("n_slots") > 0, F.col("own")).alias("own"), F.when(F.col("n_slots") > 0, F.col("values")).alias("values"))
+    return usable.select("item_id", "n_windows", "width", "at", "literal", "h", "n_slots", F.when(F.col("n_slots") > 0, F.col("own")).alias("own"), F.when(F.col("n_slots") > 0, F.col("values")).alias("values"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -103,36 +106,74 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     classes = benchmark_items(items)
     bench = common.cut_lineage(spark, benchmark_windows(classes))
-    facts = bench.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths"), F.max("n_slots").alias("slots")).first()
+    widths = lambda literal: F.collect_set(F.when(F.col("literal") == literal, F.col("width")))
+    facts = bench.agg(F.count("*").alias("n"), widths(False).alias("widths"), widths(True).alias("literal"), F.max("n_slots").alias("slots")).first()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
-    tokens = rows.select("doc_id", "th", template_tokens(F.col("text")).alias("tokens"))
+    routes = [(False, template_tokens, w) for w in sorted(facts["widths"])] + [(True, plain_tokens, w) for w in sorted(facts["literal"])]
     # the outer form, as Spark would else put a filter with a copy of the whole expression in front of the scan
-    found = reduce(DataFrame.unionByName, [with_windows(tokens, w).select("doc_id", "th", F.lit(w).alias("width"), F.posexplode_outer("windows").alias("pos", "h")) for w in sorted(facts["widths"]) or [WIDTH]])
-    keys = bench.select("item_id", "n_windows", "width", "at", "h", "n_slots")
-    hits = found.join(F.broadcast(keys) if facts["n"] <= BROADCAST_ROWS else keys, ["width", "h"])
+    found = reduce(
+        DataFrame.unionByName,
+        [
+            with_windows(rows.select("doc_id", "th", tokens(F.col("text")).alias("tokens")), w).select("doc_id", "th", F.lit(w).alias("width"), F.lit(literal).alias("literal"), F.posexplode_outer("windows").alias("pos", "h"))
+            for literal, tokens, w in routes or [(False, template_tokens, WIDTH)]
+        ],
+    )
+    small = facts["n"] <= BROADCAST_ROWS
+    usable = bench.groupBy("item_id").agg(F.count("*").alias("n_usable"), F.count(F.when(~F.col("literal"), 1)).alias("n_template"), (F.max("n_slots") > 0).alias("slotted"))
+    keys = bench.join(usable.select("item_id", "slotted"), "item_id").select("item_id", "n_windows", "width", "at", "literal", "h", "n_slots", "slotted")
+    hits = found.join(F.broadcast(keys) if small else keys, ["width", "literal", "h"])
     by = ["doc_id", "th", "item_id"]
-    covered = hits.groupBy(*by, "n_windows").agg(F.size(F.collect_set("at")).alias("n_found"), F.max("n_slots").alias("n_slots"), F.collect_list(F.when(F.col("n_slots") > 0, F.struct("pos", "at", "width"))).alias("slots"))
-    usable = bench.groupBy("item_id").agg(F.count("*").alias("n_usable"))
-    covered = covered.join(F.broadcast(usable) if facts["n"] <= BROADCAST_ROWS else usable, "item_id").where(F.col("n_found") >= COVERAGE * F.col("n_usable"))
-    covered = covered.withColumn("coverage", F.col("n_found") / F.col("n_usable"))
+    places = F.collect_list(F.when(F.col("slotted"), F.struct("pos", "at", "width", "literal"))).alias("hits")
+    covered = hits.groupBy(*by, "n_windows").agg(F.size(F.collect_set("at")).alias("n_found"), F.size(F.collect_set(F.when(~F.col("literal"), F.col("at")))).alias("n_found_template"), F.max("n_slots").alias("n_slots"), places)
+    covered = covered.join(F.broadcast(usable) if small else usable, "item_id").withColumn("coverage", _coverage())
+    covered = covered.where(F.col("coverage") >= COVERAGE)
     if not facts["slots"]:
         return covered.select(*by, "coverage", F.lit(0).cast("long").alias("n_slots"), F.lit(1.0).alias("agreement"))
     covered = common.cut_lineage(spark, covered)
-    with_slots = covered.where(F.size("slots") > 0)
+    with_slots = covered.where("n_slots > 0")
     values = rows.join(with_slots.select("doc_id", "th").distinct(), (rows["doc_id"].eqNullSafe(with_slots["doc_id"])) & (rows["th"] == with_slots["th"]), "left_semi").dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), plain_tokens(F.col("text")).alias("theirs"))
-    seen = with_slots.join(values, with_slots["doc_id"].eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select(*by, F.explode("slots").alias("s"), "theirs")
-    seen = seen.select(*by, F.col("s.at").alias("at"), F.expr("slice(theirs, s.pos + 1, s.width)").alias("theirs"))
+    places = with_slots.select(*by, "n_windows", "n_usable", "n_template", F.explode("hits").alias("s")).select(*by, "n_windows", "n_usable", "n_template", "s.*")
+    places = common.cut_lineage(spark, with_occurrences(places, by))
+    share = places.groupBy(*by, "way", "n_usable", "n_template").agg(F.size(F.collect_set("at")).alias("n_found"), F.size(F.collect_set(F.when(~F.col("literal"), F.col("at")))).alias("n_found_template"))
+    share = share.select(*by, "way", _coverage().alias("part"))
+    seen = places.where("not literal").join(values, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select(*by, "way", "at", F.expr("slice(theirs, pos + 1, width)").alias("theirs"))
     ours = bench.where("n_slots > 0").select("item_id", "at", "own", "values")
-    pairs = seen.join(ours, ["item_id", "at"]).select(*by, F.explode(F.arrays_zip("own", "values", "theirs")).alias("z")).where(is_slot(F.col("z.own")))
-    choice = pairs.groupBy(*by, F.col("z.own").alias("kind"), F.col("z.values").alias("ours"), F.col("z.theirs").alias("theirs")).agg(F.count("*").alias("n"))
-    agreed = choice.groupBy(*by, "kind", "ours").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy(*by).agg((F.sum("top") / F.sum("n")).alias("agreement"), F.sum("n").alias("slots_seen"))
-    a, b = covered.alias("a"), agreed.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.item_id") == F.col("b.item_id"))
-    joined = a.join(b, same, "left").select("a.doc_id", "a.th", "a.item_id", "a.coverage", F.coalesce("b.slots_seen", F.lit(0)).alias("n_slots"), F.coalesce("b.agreement", F.lit(1.0)).alias("agreement"))
+    pairs = seen.join(ours, ["item_id", "at"]).select(*by, "way", F.explode(F.arrays_zip("own", "values", "theirs")).alias("z")).where(is_slot(F.col("z.own")))
+    choice = pairs.groupBy(*by, "way", F.col("z.own").alias("kind"), F.col("z.values").alias("ours"), F.col("z.theirs").alias("theirs")).agg(F.count("*").alias("n"))
+    agreed = choice.groupBy(*by, "way", "kind", "ours").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy(*by, "way").agg((F.sum("top") / F.sum("n")).alias("agreement"), F.sum("n").alias("slots_seen"))
+
+    def same(a: str, b: str, *more: str) -> Column:
+        return reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*by, *more)])
+
+    ways = share.alias("p").join(agreed.alias("q"), same("p", "q", "way"), "left").select(*[f"p.{c}" for c in by], "p.way", "p.part", F.coalesce("q.agreement", F.lit(1.0)).alias("agreement"), F.coalesce("q.slots_seen", F.lit(0)).alias("seen"))
+    best = ways.groupBy(*by).agg(F.max(F.when(F.col("part") >= COVERAGE, F.col("agreement"))).alias("agreement"), F.max(F.when(F.col("way.kind") == 0, F.col("seen"))).alias("slots_seen"))
+    joined = covered.alias("a").join(best.alias("b"), same("a", "b"), "left")
+    joined = joined.select(*[f"a.{c}" for c in by], "a.coverage", F.coalesce("b.slots_seen", F.lit(0)).alias("n_slots"), F.coalesce("b.agreement", F.lit(1.0)).alias("agreement"))
     return joined.where(F.col("agreement") >= AGREEMENT)
 
 
+def _coverage() -> Column:
+    """The share of the item's template windows that was found, or, where this is too little, of all its windows."""
+    template = F.when(F.col("n_template") > 0, F.col("n_found_template") / F.col("n_template")).otherwise(F.lit(0.0))
+    return F.when(template >= COVERAGE, template).otherwise(F.col("n_found") / F.col("n_usable"))
+
+
+def with_occurrences(places: DataFrame, by: list[str]) -> DataFrame:
+    """Each hit under every ``way`` of telling an item's occurrences in a document apart.
+
+    0: all are one. 1: a new one begins where the item's windows stop going forward. 2: hits whose alignments pos - at lie near each other.
+    """
+    forward, aligned = Window.partitionBy(*by).orderBy("pos", "at"), Window.partitionBy(*by).orderBy("diagonal")
+    back = (F.col("at") < F.lag("at").over(forward)) | ((F.col("at") == F.lag("at").over(forward)) & (F.col("pos") > F.lag("pos").over(forward)))
+    apart = F.col("diagonal") - F.lag("diagonal").over(aligned) > F.least(F.lit(WIDTH), F.floor((F.col("n_windows") + F.col("width") - 1) / 2))
+    marked = places.withColumn("diagonal", F.col("pos") - F.col("at")).withColumn("_back", F.coalesce(back, F.lit(False)).cast("long")).withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("long"))
+    marked = marked.withColumn("_run", F.sum("_back").over(forward)).withColumn("_near", F.sum("_apart").over(aligned))
+    way = lambda kind, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"))
+    ways = F.explode(F.array(way(0, F.lit(0)), way(1, F.col("_run")), way(2, F.col("_near")))).alias("way")
+    return marked.select(*by, "n_usable", "n_template", "pos", "at", "width", "literal", ways)
+
+
 def leaking_documents(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each leaking text of an id: the item of greatest coverage (ties: smallest id), and how many items leak."""
     best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i"), "n_slots")).alias("best")

@@ -51,3 +51,19 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, tl.leaking_documents(spark, table, items).collect()))
     monkeypatch.setattr(tl, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, tl.leaking_documents(spark, table, items).collect())) == want and len(want) == 5
+
+
+def test_every_occurrence_is_checked_by_itself(spark):
+    rng = random.Random(12)
+    item = ITEMS[0][1]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    one = item.replace("60", "85").replace("Boston", "Denver").replace("Alice", "Robert").replace(" 3 ", " 7 ")
+    two = item.replace("60", "40").replace("Boston", "Dallas").replace("Alice", "Susan").replace(" 3 ", " 9 ")
+    words = one.split()
+    broken = " ".join(words[:14]) + " " + prose(rng, 30) + " " + " ".join(words[14:])
+    texts = [item + " " + one, one + " " + prose(rng, 40) + " " + two, item + " " + broken, item + " " + one + " " + two, prose(rng, 80)]
+    got = [r["doc_id"] for r in tl.leaking_documents(spark, docs(spark, texts), items).collect()]
+    assert sorted(got) == [0, 1, 2, 3]
+    box = "the box holds 1 red balls and 2 blue balls and 3 green balls and also 4 white balls in all of it"
+    items = spark.createDataFrame([(1, box.replace("1", "5").replace("2", "5").replace("3", "5").replace("4", "5"))], "item_id long, text string")
+    assert tl.leaking_documents(spark, docs(spark, [box, box + " " + box]), items).count() == 0
