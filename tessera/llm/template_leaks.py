@@ -3,7 +3,7 @@
 Texts are made canonical with DataFrame functions only: numbers, the units behind them, and capitalised words inside sentences
 become typed placeholders; case, punctuation and symbols go. Windows of ``WIDTH`` canonical tokens (a whole item, if it has 5 to 7)
 are hashed and equi-joined with the benchmark's windows, which are broadcast if there are at most ``BROADCAST_ROWS`` of
-them and shuffled otherwise. Windows with fewer than half plain words are not used. A document
+them and shuffled otherwise. Windows with fewer than half plain words are searched by their own words and values in place of the template. A document
 leaks an item if at least ``COVERAGE`` of the item's template windows, or of all its windows, occur in it and its slots are consistent: every
 benchmark value stands for one and the same value of the document (at least ``AGREEMENT`` of the slot occurrences agree with the most
 frequent choice), in the whole document or in one occurrence of the item that is covered as far itself.
@@ -93,7 +93,6 @@ def benchmark_windows(classes: DataFrame) -> DataFrame:
     own = rows.select("item_id", "n_windows", "width", (F.col("_i") - 1).alias("at"), F.expr("slice(tokens, _i, width)").alias("own"), F.expr("slice(values, _i, width)").alias("values"))
     own = own.withColumn("n_slots", F.size(F.filter("own", is_slot)))
     own = own.withColumn("literal", 2 * F.col("n_slots") > F.col("width")).withColumn("n_slots", F.when(F.col("literal"), 0).otherwise(F.col("n_slots")))
-    own = own.where("not literal")
     hashed = [with_windows(own.where(F.col("width") == w).withColumn("tokens", F.when(F.col("literal"), F.col("values")).otherwise(F.col("own"))), w) for w in range(LEAST_WORDS, WIDTH + 1)]
     usable = reduce(DataFrame.unionByName, hashed).withColumn("h", F.col("windows")[0])
     return usable.select("item_id", "n_windows", "width", "at", "literal", "h", "n_slots", F.when(F.col("n_slots") > 0, F.col("own")).alias("own"), F.when(F.col("n_slots") > 0, F.col("values")).alias("values"))

@@ -67,3 +67,13 @@ def test_every_occurrence_is_checked_by_itself(spark):
     box = "the box holds 1 red balls and 2 blue balls and 3 green balls and also 4 white balls in all of it"
     items = spark.createDataFrame([(1, box.replace("1", "5").replace("2", "5").replace("3", "5").replace("4", "5"))], "item_id long, text string")
     assert tl.leaking_documents(spark, docs(spark, [box, box + " " + box]), items).count() == 0
+
+
+def test_items_full_of_numbers_are_found_as_they_stand(spark):
+    rng = random.Random(13)
+    sums = "Compute 12 + 7 - 3 * 4 / 2"
+    tail = "Add 11 22 33 44 55 66 77 88 99 then tell the class which of these figures you would leave out"
+    items = spark.createDataFrame([(1, sums), (2, tail)], "item_id long, text string")
+    texts = [prose(rng, 20) + " " + sums + " " + prose(rng, 20), "Compute 12 + 7 - 3 * 4 / 5", tail, tail.replace("11", "13").replace("55", "57"), "add 11 22 33 44 55 66 77 88 99 now", prose(rng, 50)]
+    got = {r["doc_id"]: r["item_id"] for r in tl.leaking_documents(spark, docs(spark, texts), items).collect()}
+    assert got == {0: 1, 2: 2, 3: 2}
