@@ -36,7 +36,7 @@ GRID: dict[str, tuple[float, ...]] = {
     "marks_per_word": (2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25),
 }
 
-#: Languages that get a stratum of their own; the others share one.
+#: Languages that the SQL fits; beyond as many, only ``fit`` covers them all.
 MAX_STRATA = 32
 
 UPPER = regex.compile(r"\p{Lu}")
@@ -134,8 +134,10 @@ def fit(features: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float
         for i, c in enumerate(cutoffs):
             hit = F.col(rule) >= c
             sums += [F.sum((hit & (F.col("_q") == 1)).cast("long")).alias(f"{rule}_{i}_g"), F.sum((hit & (F.col("_q") != 1)).cast("long")).alias(f"{rule}_{i}_b")]
-    rows = held.groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(*sums).orderBy(F.desc("good"), "stratum").limit(MAX_STRATA).collect()
-    level = delta / max(1, len(rows) * len(GRID))
+    strata = common.cut_lineage(features.sparkSession, held.groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(*sums))
+    level = delta / max(1, strata.count() * len(GRID))
+    # with fewer good documents no cutoff can be certified, even one that rejects none of them
+    rows = strata.where(F.col("good") * math.log1p(-risk) <= math.log(level) + 1e-6).orderBy(F.desc("good"), "stratum").collect()
     out = []
     for r in rows:
         for rule, cutoffs in GRID.items():
@@ -148,7 +150,8 @@ def fit(features: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float
 def judge(features: DataFrame, cutoffs: list[Cutoff]) -> DataFrame:
     """Adds ``kept`` and ``failed_rules``; strata without cutoffs are held to the base rule only."""
     stratum = F.coalesce("lang", F.lit(""))
-    hits = [F.when((stratum == c.stratum) & (F.col(c.rule) >= c.cutoff), F.lit(c.rule)) for c in cutoffs]
+    by_rule = {rule: [x for c in cutoffs if c.rule == rule for x in (F.lit(c.stratum), F.lit(c.cutoff))] for rule in GRID}
+    hits = [F.when(F.col(rule) >= F.try_element_at(F.create_map(*own), stratum), F.lit(rule)) for rule, own in by_rule.items() if own]
     failed = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     return features.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 

@@ -47,3 +47,18 @@ def test_rules_reject_junk_and_hold_the_risk(spark):
     none = rr.quality(spark, table, labels.limit(0))
     assert none.where("not base_failed and not kept").count() == 0
     assert rr.quality(spark, table.limit(0), labels).count() == 0
+
+
+def test_every_language_gets_its_rules(spark):
+    from pyspark.sql import functions as F
+
+    many, each = rr.MAX_STRATA + 8, 440
+    rng = random.Random(8)
+    good = prose(rng, 60, 4000)
+    bad = " ".join(w + "%%%" for w in good.split())
+    lang = F.concat(F.lit("l"), (F.col("id") % many).cast("string"))
+    junk = F.floor(F.col("id") / many) >= 400
+    table = spark.range(many * each).select(F.col("id").alias("doc_id"), F.when(junk, bad).otherwise(good).alias("text"), lang.alias("lang"))
+    labels = spark.range(many * each).select(F.col("id").alias("doc_id"), F.when(junk, 0).otherwise(1).alias("quality"))
+    out = rr.quality(spark, table, labels).join(labels, "doc_id")
+    assert out.where("quality = 0 and kept").count() == 0 and out.where("quality = 1 and not kept").count() == 0
