@@ -6,14 +6,17 @@ prior; units whose log-likelihood ratio is below ``MIN_LLR`` score zero, and eve
 the expected score of clean text is negative. One linear scan (Ruzzo and Tompa) yields all maximal segments. Segment
 scores of clean text follow an extreme-value law: E = K n exp(-lambda S); lambda solves E[exp(lambda x)] = 1 over
 clean tokens and K is its maximum-likelihood value on clean training documents. A document's evidence is the
-sum of -log10 E over its segments with E < 1, turned into a probability by a logistic fit.
+sum of -log10 E over all its segments with E < 1, turned into a probability by a logistic fit; the fit and the scores use the same
+evidence, from whole texts.
 
 Learning uses a bounded sample of labelled rows, chosen by the hash of the id: on average ``MAX_CLEAN`` clean and ``MAX_TOXIC`` toxic
-documents, or all if there are fewer. Scores see the text only.
+documents of ``MAX_BYTES`` altogether, or all if there are fewer. The units sent to the tasks each occur in ``LEAST`` of these documents or more, so their number is
+bounded by the sample, too. Scores see the text only.
 
 Nulls: a null text is empty and scores as no evidence; a null id is scored like any other; labels with a null id or
 label are ignored, repeated labels are toxic if any is. Repeated rows are scored row by row. Without labels of both classes
-every score is the share of toxic labels (0 without labels). An empty table gives an empty result.
+every score is the share of toxic labels (0 without labels). An empty table gives an empty result. No result hangs on ties: units are chosen by
+thresholds, not by rank, and copies in the sample are equal in all that is counted.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-MAX_CLEAN, MAX_TOXIC = 20_000, 10_000
-#: Units kept in the model, those of the largest log-likelihood ratio first.
-MAX_UNITS = 100_000
+#: Bounds of the training sample: documents of each class, and bytes of text.
+MAX_CLEAN, MAX_TOXIC, MAX_BYTES = 20_000, 10_000, 256 << 20
+#: Documents of the sample that a unit must occur in to be in the model.
+LEAST = 4
 MIN_LLR, DRIFT, PRIOR_FLOOR, PRIOR_MASS, CLIP = 30.0, 0.05, 0.5, 200.0, 8.0
 TOKEN = re.compile(r"\w+")
 #: Words held by a scoring task's cache before it starts afresh.
@@ -52,9 +56,10 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
     """All maximal scoring segments (first, last, score) of a sequence given by its non-drift positions.
 
     ``scores`` holds (position, score) in order; every other position scores ``-drift``. One pass over the positive
-    scores; the stack is popped at most once for each entry, as in Ruzzo and Tompa's linear-time method.
+    scores. Every candidate keeps a link to its last predecessor with a lesser sum before it: all between them begin no lower, so a search
+    skips them, and each candidate is skipped or merged at most once. That makes the scan linear, as in Ruzzo and Tompa's method.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, link
     total, at = 0.0, 0
     for pos, s in scores:
         total -= drift * (pos - at)
@@ -62,17 +67,19 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
         before, total = total, total + s
         if s <= 0:
             continue
-        first, last, low, high = pos, pos, before, total
+        first, low, high = pos, before, total
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= high:
                 break
             first, low = found[j][0], found[j][2]
+            link = found[j][4]
             del found[j:]
-        found.append((first, last, low, high))
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            j = link
+        found.append((first, pos, low, high, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 @dataclass
@@ -112,7 +119,7 @@ class Model:
         return math.log10(max(self.k * max(n, 1), 1e-300)) - self.lam * score / math.log(10)
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        return min(300.0, sum(max(0.0, -self.log_e(n, s)) for _, _, s in segments))
+        return sum(max(0.0, -self.log_e(n, s)) for _, _, s in segments)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(evidence)))))
@@ -137,7 +144,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([likeness(t) for t in common.bytes_of(batch.column(0))], pa.int64())], names=["text", "toxic", "copy"])
 
-    return common.map_batches(rows.select("text", F.col("_toxic").alias("toxic")), run, "text string, toxic int, copy long").dropDuplicates(["copy", "toxic"]).select("text", "toxic")
+    rows = common.map_batches(rows.select("text", F.col("_toxic").alias("toxic")), run, "text string, toxic int, copy long")
+    kept = common.written(docs.sparkSession, rows.dropDuplicates(["copy", "toxic"]), "toxic-sample")
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return kept if size <= MAX_BYTES else common.hash_sample(kept, size, MAX_BYTES, "copy", "toxic")
 
 
 def count_units(rows: DataFrame) -> DataFrame:
@@ -155,7 +165,10 @@ def count_units(rows: DataFrame) -> DataFrame:
 
 
 def log_odds(spark: SparkSession, counts: DataFrame) -> dict[str, float]:
-    """Scores of the significant units, and zero for frequent clean words that would inherit a significant prefix."""
+    """Scores of the significant units, and zero for frequent clean words that would inherit a significant prefix.
+
+    All of them occur in LEAST documents or more, so there are fewer than the sample's bytes divided by LEAST.
+    """
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     nt, nc = float(total["t"] or 0), float(total["c"] or 0)
     if nt == 0 or nc == 0:
@@ -165,15 +178,14 @@ def log_odds(spark: SparkSession, counts: DataFrame) -> dict[str, float]:
     odds = F.log((t + prior) / (nt + PRIOR_MASS - t)) - F.log((c + prior) / (nc + PRIOR_MASS - c))
     part = lambda x, of: F.when(x > 0, x * F.log(x / ((t + c) * (of / n)))).otherwise(0.0)
     scored = counts.withColumns({"odds": F.greatest(F.lit(-1.0), F.least(F.lit(CLIP), odds)), "llr": 2 * (part(t, nt) + part(c, nc))})
-    kept = scored.where(F.col("llr") >= MIN_LLR).orderBy(F.desc("llr"), "unit").limit(MAX_UNITS).select("unit", "odds").collect()
+    kept = scored.where((F.col("llr") >= MIN_LLR) & (t + c >= LEAST)).select("unit", "odds").collect()
     found = {r["unit"]: r["odds"] for r in kept}
     prefixes = [u for u in found if u[0] != "w"]
     if prefixes:
         heads = spark.createDataFrame([(u,) for u in prefixes], "head string")
-        plain = scored.where(F.col("unit").startswith("w") & (F.col("llr") < MIN_LLR) & (F.col("c") >= 5))
+        plain = scored.where(F.col("unit").startswith("w") & (F.col("llr") < MIN_LLR) & (F.col("c") > LEAST))
         plain = plain.withColumn("head", F.explode(F.array(F.concat(F.lit("4"), F.substring("unit", 2, 4)), F.concat(F.lit("6"), F.substring("unit", 2, 6)))))
-        rows = plain.join(F.broadcast(heads), "head", "left_semi").select("unit", "c").distinct().orderBy(F.desc("c"), "unit").limit(MAX_UNITS).collect()  # heads: at most MAX_UNITS
-        found |= {r["unit"]: 0.0 for r in rows}
+        found |= {r["unit"]: 0.0 for r in plain.join(heads, "head", "left_semi").select("unit").distinct().collect()}
     return found
 
 
@@ -192,30 +204,38 @@ def newton_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    rows = common.written(spark, sample(docs, labels), "toxic-sample")
-    counts = common.cut_lineage(spark, count_units(rows))
-    model = Model(log_odds(spark, counts))
-    shared = spark.sparkContext.broadcast(model)
+def scanned(rows: DataFrame, model: Model, what: str) -> DataFrame:
+    """Of every training row: toxic and either "clean" (n, best segment and the scores' histogram of clean texts) or its "evidence"."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in it:
             out: list[tuple] = []
             for text, toxic in zip(common.texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                if what == "clean" and toxic == 1:
+                    continue
                 n, segments = shared.value.scan(text, cache)
-                hist = Counter(round(cache[w], 2) for w in TOKEN.findall(text.lower())) if toxic != 1 else {}
-                out.append((toxic, n, sorted((s for _, _, s in segments), reverse=True)[:200], list(hist), list(hist.values())))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())))], names=["toxic", "n", "s", "x", "m"])
-
-    scanned = common.cut_lineage(spark, rows.mapInArrow(run, "toxic int, n long, s array<double>, x array<double>, m array<long>"))
-    seen = scanned.select("toxic", "n", "s").collect()  # at most MAX_TOXIC + MAX_CLEAN rows of at most 200 scores
-    hist = scanned.select(F.explode(F.arrays_zip("x", "m")).alias("z")).groupBy(F.col("z.x").alias("x")).agg(F.sum("z.m").alias("m")).orderBy("x").collect()  # scores of two decimals
-    common.drop_written(spark, rows)
-    toxic = sum(r["toxic"] == 1 for r in seen)
-    if not toxic or toxic == len(seen) or not hist:
-        share = toxic / len(seen) if seen else 0.0
+                if what == "clean":
+                    hist = Counter(round(cache[w], 2) for w in TOKEN.findall(text.lower()))
+                    out.append((max(n, 1), max((s for _, _, s in segments), default=0.0), list(hist), list(hist.values())))
+                else:
+                    out.append((toxic, shared.value.evidence(n, segments)))
+            kinds = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())) if what == "clean" else (pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names=["n", "best", "x", "m"] if what == "clean" else ["toxic", "evidence"])
+
+    return rows.mapInArrow(run, "n long, best double, x array<double>, m array<long>" if what == "clean" else "toxic int, evidence double")
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
+    rows = sample(docs, labels)
+    counts = common.cut_lineage(spark, count_units(rows))
+    model = Model(log_odds(spark, counts))
+    many = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    clean = common.cut_lineage(spark, scanned(rows, model, "clean"))
+    hist = clean.select(F.explode(F.arrays_zip("x", "m")).alias("z")).groupBy(F.col("z.x").alias("x")).agg(F.sum("z.m").alias("m")).orderBy("x").collect()  # scores of two decimals
+    if not many.get(1) or not many.get(0) or not hist:
+        share = many.get(1, 0) / sum(many.values()) if many else 0.0
         model.bias = 30.0 if share == 1 else -30.0 if share == 0 else math.log(share / (1 - share))
         return model
     x, m = np.array([r["x"] for r in hist]) - DRIFT, np.array([r["m"] for r in hist], float)
@@ -226,10 +246,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             mid = (low + high) / 2
             low, high = (mid, high) if (m * np.exp(np.minimum(mid * x, 600))).sum() < 1 else (low, mid)
         model.lam = max(low, 0.05)
-    clean = [(max(r["n"], 1), max(r["s"], default=0.0)) for r in seen if r["toxic"] != 1]
-    model.k = len(clean) / max(sum(n * math.exp(-model.lam * s) for n, s in clean), 1e-9)
-    z = np.array([math.log1p(model.evidence(r["n"], [(0, 0, s) for s in r["s"]])) for r in seen])
-    model.slope, model.bias = newton_logistic(z, np.array([r["toxic"] == 1 for r in seen], float))
+    model.k = many[0] / max(clean.agg(F.sum(F.col("n") * F.exp(-model.lam * F.col("best")))).first()[0], 1e-9)
+    seen = scanned(rows, model, "evidence").toArrow().sort_by([("evidence", "ascending"), ("toxic", "ascending")])  # two numbers a sampled document
+    model.slope, model.bias = newton_logistic(np.log1p(seen["evidence"].to_numpy()), (seen["toxic"].to_numpy() == 1).astype(float))
     return model
 
 

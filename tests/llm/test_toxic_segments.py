@@ -48,3 +48,53 @@ def test_held_out_documents_are_told_apart(spark):
     plain = ts.fit(spark, table, labels.where("toxic = 0"))
     assert all(r["_score"] < 0.7 for r in ts.with_scores(table, plain).collect())
     assert ts.with_scores(table, ts.fit(spark, table, labels.limit(0))).count() == 902
+
+
+def test_scan_agrees_with_the_definition_on_longer_sequences():
+    rng = random.Random(18)
+    for _ in range(20):
+        x = [rng.choice([-1.0, rng.uniform(-3, 2), rng.uniform(-1, 4)]) for _ in range(90)]
+        hot = [(i, s) for i, s in enumerate(x) if s != -1.0]
+        assert [(a, b, round(s, 9)) for a, b, s in ts.maximal_segments(hot, 1.0)] == [(a, b, round(s, 9)) for a, b, s in segments_by_definition(x)]
+
+
+def test_scan_is_linear():
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        # falling sums with isolated positives: each starts below all before it; and rising ones that merge at the end
+        hot = [(3 * i, 1.0) for i in range(n)] + [(3 * n, 10.0 * n)]
+        began = time.perf_counter()
+        assert len(ts.maximal_segments(hot, 1.0)) >= 1
+        rising = [(2 * i, 1.5) for i in range(n)]
+        assert ts.maximal_segments(rising, 1.0) == [(0, 2 * n - 2, 1.5 * n - (n - 1))]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_long_texts_null_ids_and_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(19)
+    clean = [prose(rng, 60) for _ in range(300)]
+    toxic = [t + " vilest rotten fouler" * 3 for t in clean[:100]]
+    table = docs(spark, clean + toxic)
+    labels = spark.createDataFrame([(i, 1, int(i >= 300)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = ts.fit(spark, table, labels)
+    long_clean, long_toxic = " ".join(clean * 20), " ".join(clean * 20) + " vilest rotten fouler" * 60
+    extra = docs(spark, [long_clean, long_toxic, long_toxic, toxic[0]], first=1000).withColumn("doc_id", F.when(F.col("doc_id") < 1003, F.col("doc_id")))
+    rows = [r["_score"] for r in ts.with_scores(extra, model).collect()]
+    assert rows[0] < 0.7 <= min(rows[1:]) and rows[1] == rows[2]
+
+
+def test_held_out_documents_of_the_driver(spark):
+    """Held-out accuracy on the driver's tables. Junk texts that are labelled toxic without a toxic passage can't be found."""
+    from tessera.llm import common
+
+    where = "/root/testdata/sf0.1"
+    labels = common.table(spark, where, "labels").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic")
+    rows = ts.op5_toxicity(spark, where).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"]]
+    assert len(toxic) > 100 and sum(toxic) >= 0.85 * len(toxic)
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.005 * len(rows)
