@@ -1,14 +1,15 @@
 """URL verdicts: rules first, gradient-boosted trees on lexical features for the rest.
 
 Host and path are cut from the url by string functions. A rule ``host/path`` fits its host and all subdomains if the url's path starts with
-the rule's; the longest rule wins. Urls that a rule judges are the labelled ones. The trees are fitted on a bounded sample of them, on average
-``SAMPLE`` of each verdict, chosen by the hash of the url, with these features: lengths, depth, digit and letter ratios, character
-entropy, counts of parameters, hyphens, dots and labels, and the smoothed share of blocked urls among the sample's urls with the same last
-host label and with the same first path segment. All others are judged by the fitted trees, written out as one SQL expression.
+the rule's; the longest rule wins. Urls that a rule judges are the labelled ones. The trees are fitted on a bounded sample of the distinct ones
+among them, however often each occurs, on average ``SAMPLE`` of each verdict, chosen by the hash of the url, with these features: lengths, depth, digit and letter ratios, character
+entropy, counts of parameters, hyphens, dots and labels, and the smoothed share of blocked urls among the sample's other urls with the same last
+host label and with the same first path segment. A url of the sample gets the shares of the ``FOLDS`` - 1 folds that it isn't in, so that its own verdict
+tells the trees nothing. All others are judged by the fitted trees, written out as one SQL expression; the shares are a table of at most one row a sampled url.
 
 Nulls: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the trees. A null page id is kept. Repeated
-rows are judged row by row. With labelled urls of one verdict only, that is the verdict of the rest; without any it is allow. Empty tables
-give empty results.
+rows are judged row by row, and urls of any length as a whole. Equal urls get equal verdicts. With labelled urls of one verdict only, that is the verdict of the rest; without any it
+is allow. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 SAMPLE, TREES, DEPTH, SEED = 10_000, 12, 4, 7
-#: Distinct host suffixes, and first path segments, that get a statistic: the most frequent of the sample.
-STATISTICS = 100
+#: Urls that a leaf of a tree stands for at least.
+LEAF_URLS = 5
+#: Folds of the sample, and urls that the overall share counts for in a smoothed one.
+FOLDS, SMOOTH = 5, 10.0
 #: The rules of the query, with their verdicts.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,39 +106,72 @@ def tree_sql(debug: str) -> list[str]:
 
 
 class UrlModel:
-    """A fitted model: statistics by suffix and segment, and one SQL expression that is positive for block."""
+    """A fitted model: blocked urls (b) of all (n) by suffix and by segment, and one SQL expression that is positive for block."""
 
-    def __init__(self, margin: str, suffixes: dict[str, float], segments: dict[str, float], share: float):
-        self.margin, self.suffixes, self.segments, self.share = margin, suffixes, segments, share
+    def __init__(self, margin: str, counts: dict[str, DataFrame], share: float):
+        self.margin, self.counts, self.share = margin, counts, share
 
     def with_shares(self, features: DataFrame) -> DataFrame:
-        look = lambda m, c: F.coalesce(F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(c)], F.lit(self.share)) if m else F.lit(self.share)
-        return features.withColumns({"suffix_share": look(self.suffixes, "suffix"), "segment_share": look(self.segments, "segment")})
+        out = features
+        for name in ("suffix", "segment"):
+            share = F.lit(self.share)
+            if name in self.counts:
+                own = self.counts[name].groupBy(F.col(name).alias("_key")).agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"))
+                out = out.join(F.broadcast(own), F.col(name) == F.col("_key"), "left")  # at most a row for each url of the sample
+                share = _smooth(F.coalesce("_b", F.lit(0.0)), F.coalesce("_n", F.lit(0)), self.share)
+            out = out.withColumn(f"{name}_share", share).drop("_key", "_n", "_b")
+        return out
+
+    def with_other_shares(self, sample: DataFrame) -> DataFrame:
+        """For the sample itself: the shares without the url's own fold."""
+        out = sample
+        for name in ("suffix", "segment"):
+            by = self.counts[name]
+            whole = by.groupBy(F.col(name).alias("_key")).agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"))
+            own = by.select(F.col(name).alias("_key"), F.col("fold").alias("_fold"), F.col("n").alias("_n0"), F.col("b").alias("_b0"))
+            others = whole.join(own, "_key").select("_key", "_fold", (F.col("_n") - F.col("_n0")).alias("_n"), (F.col("_b") - F.col("_b0")).alias("_b"))
+            out = out.join(others, (F.col(name) == F.col("_key")) & (F.col("fold") == F.col("_fold"))).withColumn(f"{name}_share", _smooth(F.col("_b"), F.col("_n"), self.share)).drop("_key", "_fold", "_n", "_b")
+        return out
 
     def verdict(self) -> Column:
         return F.when(F.expr(self.margin) > 0, F.lit("block")).otherwise(F.lit("allow"))
 
 
-def fit(spark: SparkSession, labelled: DataFrame) -> UrlModel:
-    """Fits on rows (url, host, path, rest, label), label 1.0 for block; a bounded sample of them is used."""
-    distinct = labelled.select("url", "host", "path", "rest", "label")
+def _smooth(b: Column, n: Column, share: float) -> Column:
+    return (b + SMOOTH * share) / (n + SMOOTH)
+
+
+def chosen(labelled: DataFrame) -> DataFrame:
+    """The training sample: distinct labelled urls, on average at most SAMPLE of each label."""
+    distinct = common.cut_lineage(labelled.sparkSession, labelled.select("url", "host", "path", "rest", "label").dropDuplicates(["url"]))
     many = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
     few = [common.hash_sample(distinct.where(F.col("label") == y), many.get(y, 0), SAMPLE, "url") for y in (0.0, 1.0)]
-    rows = common.cut_lineage(spark, with_features(few[0].unionByName(few[1])))
+    return few[0].unionByName(few[1])
+
+
+def learner() -> GBTClassifier:
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF_URLS, seed=SEED, stepSize=0.3)
+
+
+def training(spark: SparkSession, labelled: DataFrame) -> tuple[UrlModel, DataFrame | None]:
+    """The model without its trees, and the rows (features, label) to fit them on; None if there is nothing to learn."""
+    rows = common.cut_lineage(spark, with_features(chosen(labelled)).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS))))
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("b")).first()
     n, blocked = total["n"], total["b"] or 0.0
     if blocked == 0 or blocked == n:
-        return UrlModel("1" if n and blocked == n else "-1", {}, {}, 0.0)
-    share = blocked / n
-    stats = []
-    for c in ("suffix", "segment"):
-        found = rows.groupBy(c).agg(F.count("*").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), c).limit(STATISTICS).collect()
-        stats.append({r[c]: (r["b"] + 10 * share) / (r["n"] + 10) for r in found})
-    model = UrlModel("0", *stats, share)
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.with_shares(rows)).select("features", "label")
-    # one partition of a bounded sample: the fit doesn't depend on how rows are dealt out
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3).fit(data.coalesce(1))
-    model.margin = " + ".join(f"({w} * ({t}))" for w, t in zip(fitted.treeWeights, tree_sql(fitted.toDebugString)))
+        return UrlModel("1" if n and blocked == n else "-1", {}, 0.0), None
+    counts = {c: common.cut_lineage(spark, rows.groupBy(c, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))) for c in ("suffix", "segment")}
+    model = UrlModel("0", counts, blocked / n)
+    # one sorted partition of a bounded sample: the fit doesn't depend on how rows are dealt out
+    return model, VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.with_other_shares(rows)).select("features", "label", "url").coalesce(1).sortWithinPartitions("url")
+
+
+def fit(spark: SparkSession, labelled: DataFrame) -> UrlModel:
+    """Fits on rows (url, host, path, rest, label), label 1.0 for block; a bounded sample of the distinct urls is used."""
+    model, data = training(spark, labelled)
+    if data is not None:
+        fitted = learner().fit(data)
+        model.margin = " + ".join(f"({w} * ({t}))" for w, t in zip(fitted.treeWeights, tree_sql(fitted.toDebugString)))
     return model
 
 
