@@ -1,16 +1,20 @@
 """Quality rules whose cutoffs are chosen under a guaranteed false-rejection rate.
 
-Each rule rejects a document when a ratio reaches a cutoff. Candidate cutoffs of a rule are tested from the
-mildest to the strictest, on labelled good documents of one stratum (a language): the exact binomial tail
-P(Bin(n, risk) <= k), k good documents rejected out of n, must not exceed the test level. Testing stops at the
-first failure (fixed-sequence testing, so the grid costs nothing), and the level is shared over all rules and
-strata (Bonferroni). With probability 1 - ``delta`` no rule rejects more than ``risk`` of the good documents of
-any stratum. Among the certified cutoffs of a rule, that with the most bad documents rejected, less ten times the good
-ones, is used; a rule without such a cutoff stays off.
-
-Nulls: a null text counts as empty and fails the base rule; a null language is the stratum of unknown languages;
-labels with a null id or quality are ignored, labels repeated for an id count as bad if any is. Repeated document rows are judged row by row.
-An empty table gives an empty result, and empty labels switch all learned rules off.
+Each rule rejects a document when a ratio reaches a cutoff; a document goes if any of its stratum's rules rejects it. Strata are languages. Labelled
+documents that pass the base rule are split by the md5 of the text, a text counting once however often it occurs:
+
+* a quarter tunes: each rule takes the cutoff with the most bad documents rejected, less ten times the good ones; rules without a gain stay
+  off, and the others are ordered by gain. Policy j is the union of the first j rules, so policies are nested.
+* the rest is the holdout: policies are tested in order by the exact binomial tail P(Bin(n, risk) <= k), k good documents rejected by the whole union out
+  of n. Testing stops at the first failure (fixed-sequence testing, so the rules and the grid cost nothing), and the level ``delta`` is shared over all strata that have
+  enough good documents to certify anything (Bonferroni).
+
+So with probability 1 - ``delta``, in no stratum do all rules together reject more than ``risk`` of the good documents. The longest certified policy is used; a
+stratum without one is held to the base rule only.
+
+Nulls: a null text counts as empty and fails the base rule; a null language is a stratum of its own, apart from the empty one; labels with a null id or
+quality are ignored, a text whose labels disagree counts as bad. Repeated document rows are judged row by row. Ties between cutoffs go to the milder, between rules
+to the first of ``GRID``. Very long texts are measured whole. An empty table gives an empty result, and empty labels switch all learned rules off.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ GRID: dict[str, tuple[float, ...]] = {
     "marks_per_word": (2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25),
 }
 
-#: Languages that the SQL fits; beyond as many, only ``fit`` covers them all.
-MAX_STRATA = 32
+#: Texts whose md5 begins with one of these digits tune; all others are the holdout.
+TUNING = "0123"
+#: Strata with certified rules that are sent to every task at most; more are joined by a shuffle.
+BROADCAST_STRATA = 10_000
 
 UPPER = regex.compile(r"\p{Lu}")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
@@ -67,14 +73,14 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of every whole text."""
+    """doc_id, lang, digest (md5 of the text) and the counts of every whole text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(zip(*map(measure, common.texts_of(batch.column(2))))) or [()] * 7
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "lang", *(x.split()[0] for x in MEASURES.split(", "))])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "lang", "digest", *(x.split()[0] for x in MEASURES.split(", "))])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string")), run, f"doc_id long, lang string, {MEASURES}")
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("digest")), run, f"doc_id long, lang string, digest string, {MEASURES}")
 
 
 def with_features(df: DataFrame) -> DataFrame:
@@ -93,67 +99,85 @@ def with_features(df: DataFrame) -> DataFrame:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exactly up to rounding."""
+    """P(Bin(n, p) <= k), exactly up to rounding: terms are summed from k away from the mode, until they no longer matter."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    if k < 0:
+        return 0.0
+    log_term = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    below = k <= n * p
+    i = k if below else k + 1
+    term = total = math.exp(log_term(i))
+    while term > total * 1e-18 and (i > 0 if below else i < n):
+        term *= i / (n - i + 1) * (1 - p) / p if below else (n - i) / (i + 1) * p / (1 - p)
+        i += -1 if below else 1
+        total += term
+    return min(1.0, total if below else 1 - total)
+
+
+def least_good(risk: float, delta: float) -> int:
+    """Good documents of the holdout without which nothing can be certified, even if none is rejected and no other stratum is tested."""
+    return math.ceil(math.log(delta) / math.log1p(-risk))
 
 
 @dataclass(frozen=True)
-class Cutoff:
-    stratum: str
-    rule: str
-    cutoff: float
+class Policy:
+    """A stratum's certified rules with their cutoffs, and what they do to the holdout."""
+
+    lang: str | None
+    cutoffs: dict[str, float]
     good: int
     good_rejected: int
-    bad: int
-    bad_rejected: int
     p_value: float
 
 
-def certify(counts: list[tuple[float, int, int]], n_good: int, n_bad: int, risk: float, level: float) -> tuple[float, int, int, float] | None:
-    """The chosen one of (cutoff, good rejected, bad rejected), mildest first, and its p-value; None if none is certified."""
-    best, gain = None, 0
-    for cutoff, good, bad in counts:
-        p = binomial_tail(good, n_good, risk)
-        if n_good == 0 or p > level:
-            break
-        if bad - 10 * good > gain:
-            best, gain = (cutoff, good, bad, p), bad - 10 * good
-    return best
+def certified(rejected: list[int], n_good: int, risk: float, level: float) -> int:
+    """How many policies in a row are certified, from the good documents that each one rejects."""
+    for j, k in enumerate(rejected):
+        if n_good == 0 or binomial_tail(k, n_good, risk) > level:
+            return j
+    return len(rejected)
 
 
-def fit(features: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> list[Cutoff]:
-    """Certified cutoffs by stratum and rule, from all labelled documents that pass the base rule."""
+def fit(features: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> list[Policy]:
+    """The certified policy of every stratum that has one, from all labelled texts that pass the base rule."""
+    spark = features.sparkSession
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("_q")).where("doc_id is not null and _q is not null").groupBy("doc_id").agg(F.min("_q").alias("_q"))
     held = features.where(~F.col("base_failed")).join(known, "doc_id")
-    sums = [F.sum((F.col("_q") == 1).cast("long")).alias("good"), F.sum((F.col("_q") != 1).cast("long")).alias("bad")]
-    for rule, cutoffs in GRID.items():
-        for i, c in enumerate(cutoffs):
-            hit = F.col(rule) >= c
-            sums += [F.sum((hit & (F.col("_q") == 1)).cast("long")).alias(f"{rule}_{i}_g"), F.sum((hit & (F.col("_q") != 1)).cast("long")).alias(f"{rule}_{i}_b")]
-    strata = common.cut_lineage(features.sparkSession, held.groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(*sums))
-    level = delta / max(1, strata.count() * len(GRID))
-    # with fewer good documents no cutoff can be certified, even one that rejects none of them
-    rows = strata.where(F.col("good") * math.log1p(-risk) <= math.log(level) + 1e-6).orderBy(F.desc("good"), "stratum").collect()
-    out = []
+    texts = held.groupBy("lang", "digest").agg(F.min("_q").alias("_q"), *[F.first(r).alias(r) for r in GRID])  # equal texts have equal ratios
+    texts = common.cut_lineage(spark, texts.withColumn("_tune", F.substring("digest", 1, 1).isin(*TUNING)))
+    good, bad, hold = F.col("_q") == 1, F.col("_q") != 1, ~F.col("_tune")
+    gains = [F.sum(((F.col(rule) >= c) & F.col("_tune")).cast("long") * F.when(bad, 1).otherwise(-10)).alias(f"{rule}_{i}") for rule, cutoffs in GRID.items() for i, c in enumerate(cutoffs)]
+    strata = texts.groupBy("lang").agg(F.sum((good & hold).cast("long")).alias("n_good"), *gains)
+    rows = strata.where(F.col("n_good") >= least_good(risk, delta)).collect()  # at most one for each least_good labels
+    ladders = {}
+    for r in rows:
+        best = [max((r[f"{rule}_{i}"] or 0, -i, rule, c) for i, c in enumerate(cutoffs)) for rule, cutoffs in GRID.items()]
+        order = sorted((x for x in best if x[0] > 0), key=lambda x: (-x[0], list(GRID).index(x[2])))
+        ladders[r["lang"]] = [(rule, c) for _, _, rule, c in order]
+    steps = [(lang, j, rule, c) for lang, own in ladders.items() for j, (rule, c) in enumerate(own)]
+    if not steps:
+        return []
+    ladder = spark.createDataFrame(steps, "_l string, _j int, _rule string, _c double")
+    ladder = ladder.groupBy("_l").agg(*[F.max(F.when(F.col("_rule") == rule, F.struct("_j", "_c"))).alias(f"_{rule}") for rule in GRID])
+    first = F.least(*[F.when(F.col(rule) >= F.col(f"_{rule}._c"), F.col(f"_{rule}._j")) for rule in GRID])  # the first policy that rejects the text
+    found = texts.where(good & hold).join(ladder, F.col("lang").eqNullSafe(F.col("_l"))).groupBy("lang", first.alias("first")).count().where("first is not null").collect()
+    level, out = delta / len(rows), []
     for r in rows:
-        for rule, cutoffs in GRID.items():
-            chosen = certify([(c, r[f"{rule}_{i}_g"], r[f"{rule}_{i}_b"]) for i, c in enumerate(cutoffs)], r["good"], r["bad"], risk, level)
-            if chosen:
-                out.append(Cutoff(r["stratum"], rule, chosen[0], r["good"], chosen[1], r["bad"], chosen[2], chosen[3]))
+        own, by = ladders[r["lang"]], {x["first"]: x["count"] for x in found if x["lang"] == r["lang"]}
+        rejected = [sum(by.get(i, 0) for i in range(j + 1)) for j in range(len(own))]
+        if n := certified(rejected, r["n_good"], risk, level):
+            out.append(Policy(r["lang"], dict(own[:n]), r["n_good"], rejected[n - 1], binomial_tail(rejected[n - 1], r["n_good"], risk)))
     return out
 
 
-def judge(features: DataFrame, cutoffs: list[Cutoff]) -> DataFrame:
-    """Adds ``kept`` and ``failed_rules``; strata without cutoffs are held to the base rule only."""
-    stratum = F.coalesce("lang", F.lit(""))
-    by_rule = {rule: [x for c in cutoffs if c.rule == rule for x in (F.lit(c.stratum), F.lit(c.cutoff))] for rule in GRID}
-    hits = [F.when(F.col(rule) >= F.try_element_at(F.create_map(*own), stratum), F.lit(rule)) for rule, own in by_rule.items() if own]
-    failed = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    return features.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+def judge(features: DataFrame, policies: list[Policy]) -> DataFrame:
+    """Adds ``kept`` and ``failed_rules``; strata without a policy are held to the base rule only."""
+    rows = [(p.lang, *(p.cutoffs.get(rule) for rule in GRID)) for p in policies]
+    own = features.sparkSession.createDataFrame(rows, "_l string, " + ", ".join(f"_{rule} double" for rule in GRID))
+    joined = features.join(F.broadcast(own) if len(rows) <= BROADCAST_STRATA else own, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    failed = F.array_compact(F.array(*[F.when(F.col(rule) >= F.col(f"_{rule}"), F.lit(rule)) for rule in GRID]))
+    return joined.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_l", *[f"_{rule}" for rule in GRID])
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.1) -> DataFrame:
@@ -169,32 +193,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(risk: float = 0.02, delta: float = 0.1) -> str:
-    """The same rows in DuckDB's SQL: counts, exact tails, fixed-sequence choice and verdicts."""
-    grid = ", ".join(f"('{rule}', {i}, {c}::double)" for rule, cutoffs in GRID.items() for i, c in enumerate(cutoffs))
+    """The same rows in DuckDB's SQL: counts, tuned cutoffs, nested policies, exact tails, fixed-sequence choice and verdicts."""
+    grid = ", ".join(f"('{rule}', {r}, {i}, {c}::double)" for r, (rule, cutoffs) in enumerate(GRID.items()) for i, c in enumerate(cutoffs))
     value = "case rule " + " ".join(f"when '{r}' then {r}" for r in GRID) + " end"
     return f"""
-with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
-w as (select r, doc_id, stratum, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from d),
+with d as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as text from documents),
+w as (select r, doc_id, lang, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from d),
 l as (select r, unnest(string_split(text, chr(10))) as line from d),
 dup as (select r, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
 t as (select r, u.i, words[u.i : u.i + 2] as win from w, unnest(range(1, len(words) - 1)) as u(i)),
 tc as (select r, i, count(*) over (partition by r, win) as many from t),
 rep as (select r, count(distinct i + v.k) as n_repeat_words from tc, (values (0), (1), (2)) as v(k) where many > 1 group by 1),
-m as (select r, doc_id, stratum, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+m as (select r, doc_id, lang, md5(text) as digest, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
  coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) as n_upper, length(regexp_replace(text, '[^!?]', '', 'g')) as n_marks
  from w left join dup using (r) left join rep using (r)),
 f as (select *, n_symbols / greatest(word_chars, 1) as symbol_ratio, n_dup_lines / greatest(n_words, 1) as dup_line_ratio, n_repeat_words / greatest(n_words, 1) as repeat_ratio,
  n_upper / greatest(word_chars, 1) as upper_ratio, word_chars / greatest(n_words, 1) as mean_word_chars, n_marks / greatest(n_words, 1) as marks_per_word, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
 known as (select doc_id, min(quality) as q from labels where doc_id is not null and quality is not null group by 1),
-held as (select f.*, q from f join known using (doc_id) where not base_failed),
-strata as (select stratum, count(*) filter (q = 1) as good from held group by 1 order by good desc, stratum limit {MAX_STRATA}),
-level as (select {delta} / greatest(1, count(*) * {len(GRID)}) as level from strata),
-g as (select * from (values {grid}) as x(rule, i, cutoff)),
-hits as (select stratum, rule, i, cutoff, count(*) filter (q = 1 and ({value}) >= cutoff) as fr, count(*) filter (q <> 1 and ({value}) >= cutoff) as br from held, g group by all),
-tails as (select h.*, s.good as n, case when s.good = 0 then 2 when h.fr >= s.good then 1
- else (select sum(exp(lgamma(s.good + 1) - lgamma(j.j + 1) - lgamma(s.good - j.j + 1) + j.j * ln({risk}) + (s.good - j.j) * ln(1 - {risk}))) from unnest(range(0, h.fr + 1)) as j(j)) end as p from hits h join strata s using (stratum)),
-certified as (select t.*, br - 10 * fr as gain from tails t, level where not exists (select 1 from tails b where b.stratum = t.stratum and b.rule = t.rule and b.i <= t.i and b.p > level.level)),
-chosen as (select stratum, rule, cutoff from (select *, row_number() over (partition by stratum, rule order by gain desc, i) as k from certified) where k = 1 and gain > 0),
-failed as (select distinct f.r from f join chosen c using (stratum) where ({value}) >= cutoff)
+held as (select lang, digest, substr(digest, 1, 1) in ({", ".join(f"'{x}'" for x in TUNING)}) as tune, min(q) as q, {", ".join(f"any_value({r}) as {r}" for r in GRID)} from f join known using (doc_id) where not base_failed group by all),
+strata as (select lang, count(*) filter (q = 1 and not tune) as n from held group by 1 having n >= {least_good(risk, delta)}),
+level as (select {delta} / greatest(1, count(*)) as level from strata),
+g as (select * from (values {grid}) as x(rule, place, i, cutoff)),
+gains as (select lang, rule, place, i, cutoff, sum(case when tune and ({value}) >= cutoff then case when q = 1 then -10 else 1 end else 0 end) as gain from held, g group by all),
+best as (select *, row_number() over (partition by lang, rule order by gain desc, i) as k from gains),
+ladder as (select lang, rule, cutoff, row_number() over (partition by lang order by gain desc, place) as j from best where k = 1 and gain > 0),
+first as (select h.lang, h.digest, min(l.j) as j from held h join ladder l on h.lang is not distinct from l.lang where q = 1 and not tune and ({value}) >= cutoff group by all),
+rejected as (select l.lang, l.j, (select count(*) from first x where x.lang is not distinct from l.lang and x.j <= l.j) as k from ladder l),
+tails as (select r.lang, r.j, case when r.k >= s.n then 1
+ else (select sum(exp(lgamma(s.n + 1) - lgamma(v.i + 1) - lgamma(s.n - v.i + 1) + v.i * ln({risk}) + (s.n - v.i) * ln(1 - {risk}))) from unnest(range(0, r.k + 1)) as v(i)) end as p from rejected r join strata s on r.lang is not distinct from s.lang),
+certified as (select a.lang, a.j from tails a, level where not exists (select 1 from tails b where b.lang is not distinct from a.lang and b.j <= a.j and b.p > level.level)),
+failed as (select distinct f.r from f join ladder l on f.lang is not distinct from l.lang join certified c on c.lang is not distinct from l.lang and c.j = l.j where ({value}) >= cutoff)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from failed) as kept from f
 """
