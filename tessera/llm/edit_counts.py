@@ -4,18 +4,20 @@ A document is split into pre-tokens, whose BPE counts are independent of each ot
 of a tree whose inner nodes hold the sums of characters and tokens below. An edit (start, end, replacement) finds its leaves by
 descending the sums. Re-encoding starts at the leaf that holds the last pre-token no text behind the edit's start can change,
 and goes on until a boundary of the new split falls on a leaf's boundary behind the edit; from there on both splits agree, as the
-pattern looks forward only. The touched leaves are replaced and the sums on their paths updated; nothing else is encoded
-again. Trees are a table (doc_id, text, chars, tokens), so a later batch of edits starts from them.
+pattern looks forward only. Edits that touch the same leaves, or that the next one could change, are merged and encoded once; so no batch of edits encodes more than the
+text and the leaves' edges. The touched leaves are replaced and the sums on their paths updated; nothing else is encoded
+again. Special tokens are pre-tokens of their own, and characters on which Unicode versions disagree are split by the library, piece by piece. Trees
+are a table (doc_id, text, chars, tokens), so a later batch of edits starts from them.
 
 Edits of one document all refer to its text before the batch; one that overlaps an earlier one or lies outside the text
-is ignored. Nulls: a null text is empty, a null replacement is the empty text, edits with a null id, start or end are ignored. Repeated
-document rows each get the edits of their id. Empty tables give empty results. Texts with a special token's string, or with
-characters on which Unicode versions disagree, are counted as a whole, before and after.
+is ignored, and of those with one start only the shortest counts (ties: the least replacement), so a document has no more edits than characters, however many rows
+ask for them. Nulls: a null text is empty, a null replacement is the empty text, edits with a null id, start or end are ignored, documents with a null id
+have no edits of a table. Repeated document rows each get the edits of their id. Very long texts are counted whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -65,49 +67,44 @@ class Tree:
                 i += 1
         return i, before
 
-    def put(self, first: int, last: int, new: np.ndarray) -> "Tree":
-        """The tree with leaves first..last replaced; it is built again only if the new leaves don't fit in their place."""
-        if len(new) > last - first + 1:
-            return Tree(np.concatenate([self.leaves[:first], new, self.leaves[last + 1 :]]))
-        for k in range(first, last + 1):
-            leaf, delta = k, (new[k - first] if k - first < len(new) else np.zeros(2, np.int64)) - self.leaves[k]
-            for level in self.levels:
-                level[leaf] += delta
-                leaf >>= 1
+    def replaced(self, changes: list[tuple[int, int, np.ndarray]]) -> "Tree":
+        """The tree with leaves first..last replaced by others, for every change; it is built again only if new leaves don't fit in their place."""
+        if any(len(new) > last - first + 1 for first, last, new in changes):
+            parts, at = [], 0
+            for first, last, new in changes:
+                parts += [self.leaves[at:first], new]
+                at = last + 1
+            return Tree(np.concatenate([*parts, self.leaves[at:]]))
+        for first, last, new in changes:
+            for k in range(first, last + 1):
+                leaf, delta = k, (new[k - first] if k - first < len(new) else np.zeros(2, np.int64)) - self.leaves[k]
+                for level in self.levels:
+                    level[leaf] += delta
+                    leaf >>= 1
         return self
 
 
-def blocks(codec: pretokens.Codec, pieces: list[str]) -> np.ndarray:
-    sizes = np.array([(len(p), len(codec.piece(p))) for p in pieces], np.int64).reshape(-1, 2)
+def blocks(codec: pretokens.Codec, pieces: Iterable[tuple[str, int | None]]) -> np.ndarray:
+    sizes = np.array([(len(p), len(codec.piece(p)) if special is None else 1) for p, special in pieces], np.int64).reshape(-1, 2)
     return np.add.reduceat(sizes, np.arange(0, len(sizes), BLOCK)) if len(sizes) else sizes
 
 
-def whole(codec: pretokens.Codec, text: str) -> bool:
-    """Whether the text must be counted as a whole."""
-    return any(s in text for s in codec.specials) or not codec.regular(text)
-
-
 def grow(codec: pretokens.Codec, text: str) -> Tree:
-    if whole(codec, text):
-        return Tree(np.array([(len(text), len(codec.encode(text)))]))
-    return Tree(blocks(codec, codec.pattern.findall(text)))
+    return Tree(blocks(codec, codec.walk(text, 0, codec.specials_in(text), codec.regular(text))))
 
 
 def accepted(text: str, edits: list[Edit]) -> list[Edit]:
-    """The edits that lie in the text and overlap none before, by start."""
-    kept, last = [], 0
-    for e in sorted(edits, key=lambda e: (e[0], e[1])):
-        if last <= e[0] <= e[1] <= len(text):
+    """The edits that lie in the text and overlap none before, by start; of those with one start the first."""
+    kept, last, before = [], 0, -1
+    for e in sorted(edits):
+        if last <= e[0] <= e[1] <= len(text) and e[0] != before:
             kept.append(e)
-            last = e[1]
+            before, last = e[0], e[1]
     return kept
 
 
 def apply_edits(codec: pretokens.Codec, text: str, tree: Tree, edits: list[Edit]) -> tuple[str, Tree, int]:
-    """The edited text, its tree, and the characters that were encoded again.
-
-    Edits go from the last to the first, so the offsets before them stay true.
-    """
+    """The edited text, its tree, and the characters that were encoded again: one pass from the first edit to the last."""
     edits = accepted(text, edits)
     if not edits:
         return text, tree, 0
@@ -116,28 +113,32 @@ def apply_edits(codec: pretokens.Codec, text: str, tree: Tree, edits: list[Edit]
         pieces += [text[at:start], new]
         at = end
     result = "".join([*pieces, text[at:]])
-    if whole(codec, text) or whole(codec, result):
-        return result, grow(codec, result), len(result)
-    again = 0
-    for start, end, new in reversed(edits):
-        text, shift = text[:start] + new + text[end:], len(new) - (end - start)
-        first, at = tree.find(max(0, start - pretokens.LOOKAHEAD - 1))
-        last, before = tree.find(end)
-        goal, found = before + int(tree.leaves[last, 0]) + shift, []
-        while at < len(text):
-            while at > goal and last + 1 < len(tree.leaves):
-                last += 1
-                goal += int(tree.leaves[last, 0])
-            if at == goal:
+    specials, regular = codec.specials_in(result), codec.regular(result)
+    back = pretokens.LOOKAHEAD + 1 + max(map(len, codec.specials), default=0)
+    ends = np.cumsum(tree.leaves[:, 0]).tolist()  # of the leaves, in the old text
+    n, shift, again, k = len(ends), 0, 0, 0
+    changes: list[tuple[int, int, np.ndarray]] = []
+    while k < len(edits):
+        first, old = tree.find(max(0, edits[k][0] - back))
+        at, last, found = old + shift, first, []
+        split = codec.walk(result, at, specials, regular)
+        while True:
+            while k < len(edits) and edits[k][0] - back < ends[last]:  # this edit belongs to the leaves in hand
+                shift += len(edits[k][2]) - (edits[k][1] - edits[k][0])
+                last = max(last, tree.find(edits[k][1])[0])
+                k += 1
+            if at == ends[last] + shift or at >= len(result):
                 break
-            piece = codec.pattern.match(text, at)[0]
-            found.append(piece)
-            at += len(piece)
-        if at >= len(text):
-            last = len(tree.leaves) - 1
-        again += sum(map(len, found))
-        tree = tree.put(first, last, blocks(codec, found))
-    return text, tree, again
+            if at > ends[last] + shift and last + 1 < n:
+                last += 1
+                continue
+            found.append(next(split))
+            at += len(found[-1][0])
+        if at >= len(result):
+            last, k = n - 1, len(edits)
+        again += sum(len(p) for p, _ in found)
+        changes.append((first, last, blocks(codec, found)))
+    return result, tree.replaced(changes), again
 
 
 def trees(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -165,8 +166,11 @@ def recount(spark: SparkSession, grown: DataFrame, edits: DataFrame | Callable[[
     rows = grown.select("doc_id", "text", "chars", "tokens")
     derive = None if isinstance(edits, DataFrame) else edits
     if derive is None:
-        wanted = edits.where("doc_id is not null and start is not null and end is not null")
-        listed = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("new"))).alias("edits"))
+        wanted = edits.select(F.col("doc_id").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("new")).where("doc_id is not null and 0 <= start and start <= end")
+        wanted = wanted.groupBy("doc_id", "start").agg(F.min(F.struct("end", "new")).alias("e"))
+        sizes = grown.groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
+        inside = wanted.join(sizes, "doc_id").where("e.end <= size")
+        listed = inside.groupBy("doc_id").agg(F.collect_list(F.struct("start", "e.end", "e.new")).alias("edits"))  # at most one edit a character
         rows = rows.join(listed, "doc_id", "left")  # one document's edits come together, as its text does
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -8,7 +8,8 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import cache, cached_property
 from pathlib import Path
 
@@ -101,29 +102,59 @@ class Codec:
         except UnicodeEncodeError:
             return unsettled().search(text) is None
 
+    def specials_in(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, id) of the special tokens in a text, in order."""
+        if not self.special or not any(s in text for s in self.specials):
+            return []
+        return [(m.start(), m.end(), self.specials[m[0]]) for m in self.special.finditer(text)]
+
+    def split(self, text: str, at: int, stop: int, regular: bool) -> Iterator[str]:
+        """The pre-tokens of text[at:stop], a part without special tokens, one after the other."""
+        if regular:
+            while at < stop:
+                m = self.pattern.match(text, at, stop)
+                yield m[0]
+                at = m.end()
+            return
+        size = 4096  # the library splits pieces of the text, whose last pre-tokens a longer piece could change
+        while at < stop:
+            upto = min(stop, at + size)
+            ends = [b for _, (_, b) in self.library.pre_tokenizer.pre_tokenize_str(text[at:upto])]
+            if upto < stop:
+                ends = [b for b in ends if b <= upto - at - LOOKAHEAD]
+                size *= 1 if ends else 2
+            for a, b in zip([0, *ends], ends):
+                yield text[at + a : at + b]
+            at += ends[-1] if ends else 0
+
+    def walk(self, text: str, at: int, specials: list[tuple[int, int, int]], regular: bool) -> Iterator[tuple[str, int | None]]:
+        """The pre-tokens of a text from the boundary ``at`` on, and its special tokens with their ids."""
+        for start, end, special in specials[bisect_left(specials, (at, 0, 0)) :]:
+            for piece in self.split(text, at, start, regular):
+                yield piece, None
+            yield text[start:end], special
+            at = end
+        for piece in self.split(text, at, len(text), regular):
+            yield piece, None
+
     def parts(self, text: str) -> list[tuple[str, int | None]]:
         """Plain parts and special tokens (with their id), in order."""
-        if not self.special or not any(s in text for s in self.specials):
-            return [(text, None)] if text else []
         out, at = [], 0
-        for m in self.special.finditer(text):
-            if m.start() > at:
-                out.append((text[at : m.start()], None))
-            out.append((m[0], self.specials[m[0]]))
-            at = m.end()
+        for start, end, special in self.specials_in(text):
+            if start > at:
+                out.append((text[at:start], None))
+            out.append((text[start:end], special))
+            at = end
         return [*out, (text[at:], None)] if at < len(text) else out
 
     def encode(self, text: str) -> list[int]:
         """The whole text, pre-token by pre-token."""
-        if not self.regular(text):
-            return self.library.encode(text, add_special_tokens=False).ids
         out: list[int] = []
-        for part, special in self.parts(text):
+        for piece, special in self.walk(text, 0, self.specials_in(text), self.regular(text)):
             if special is not None:
                 out.append(special)
             else:
-                for p in self.pattern.findall(part):
-                    out.extend(self.piece(p))
+                out.extend(self.piece(piece))
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -48,3 +48,50 @@ def test_tables_nulls_overlaps_and_clashing_columns(spark):
     assert rows[0]["text"].startswith("post me") and rows[0]["n_edits"] == 1
     assert rows[3]["text"].startswith("ring") and rows[4]["text"] == "plain"
     assert ec.recount(spark, ec.trees(spark, docs(spark, [])), edits).count() == 0
+
+
+def test_dense_edits_encode_no_text_twice():
+    codec = pretokens.Codec(pretokens.vocabulary())
+    text = "some words here, and others there " * 7_000
+    edits = [(i, i + 3, "xyz!") for i in range(0, len(text) - 40, 31)]
+    after, tree, again = ec.apply_edits(codec, text, ec.grow(codec, text), edits)
+    assert tree.tokens == counted(codec, after) and again <= 1.02 * len(after)
+
+
+def test_special_tokens_and_unsettled_characters_stay_local():
+    codec = pretokens.Codec(pretokens.vocabulary())
+    special = next(iter(codec.specials))
+    for rare in (special, "\U00010940"):
+        text = "some words here " * 3_000 + rare + " more of them" * 3_000
+        tree = ec.grow(codec, text)
+        assert len(tree.leaves) > 50 and tree.tokens == counted(codec, text)
+        after, tree, again = ec.apply_edits(codec, text, tree, [(20, 24, "other")])
+        assert tree.tokens == counted(codec, after) and again < 3_000
+    parts = special[:5], special[5:]
+    text = "a b " * 400 + parts[0] + "x" + parts[1] + "   " + special + " c d" * 400
+    at = text.index("x")
+    for edits in ([(at, at + 1, "")], [(text.index(special), text.index(special) + 3, "")], [(at, at + 1, ""), (text.index(special), text.index(special) + len(special), " ")]):
+        after, tree, _ = ec.apply_edits(codec, text, ec.grow(codec, text), edits)
+        assert tree.tokens == counted(codec, after), edits
+
+
+def test_null_ids_repeated_rows_and_many_edits_at_one_place(spark):
+    from pyspark.sql import functions as F
+
+    table = docs(spark, ["one two three", "one two three", "four five"]).withColumn("doc_id", F.when(F.col("doc_id") < 2, F.lit(7)))
+    grown = ec.trees(spark, table)
+    edits = spark.createDataFrame([(7, 3, 3, f" {i:03d}") for i in range(200)] + [(7, 0, 3, "six"), (None, 0, 1, "x"), (7, 1 << 40, 1 << 40, "far")], "doc_id long, start long, end long, replacement string")
+    rows = ec.recount(spark, grown, edits).collect()
+    assert sorted(r["text"] for r in rows) == ["four five", "six 000 two three", "six 000 two three"]
+    assert [r["n_edits"] for r in rows if r["doc_id"] == 7] == [2, 2]
+
+
+def test_a_random_batch_on_the_drivers_documents():
+    import duckdb
+
+    codec, rng = pretokens.Codec(pretokens.vocabulary()), random.Random(3)
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall():
+        text = text or ""
+        edits = [(s, min(len(text), s + rng.choice([0, 1, 9])), rng.choice(PIECES)) for s in (rng.randint(0, len(text)) for _ in range(rng.choice([1, 5, 80])))]
+        after, tree, again = ec.apply_edits(codec, text, ec.grow(codec, text), edits)
+        assert tree.tokens == counted(codec, after) and again <= len(after)
