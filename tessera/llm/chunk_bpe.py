@@ -1,13 +1,15 @@
 """Byte-level BPE that encodes content-defined chunks once and repairs their joins.
 
 A rolling polynomial hash over 32 bytes cuts texts where its top bits are zero, so copies and shared passages fall into equal
-chunks wherever they stand. Chunks that save most (occurrences beyond the first, times length) over the whole table form a dictionary
-of at most ``DICTIONARY_BYTES``, encoded once and broadcast; every other chunk is encoded once a task, as far as the task's bounded
-cache holds it. Which chunk is reused never changes a result: at each join the pre-tokens that the cut could have
+chunks wherever they stand. Chunks that occur more than once over the whole table are ranked by what they save (occurrences beyond the first, times length);
+the best of them, up to ``DICTIONARY_BYTES`` and ``DICTIONARY_CHUNKS``, form a dictionary that is encoded once for all tasks and broadcast. Its bound doesn't hang on the corpus, and it is filled
+however many chunks are of like worth. Every other chunk is encoded once a task, as far as the task's bounded
+cache holds it, the chunk unused for longest leaving first. Which chunk is reused never changes a result: at each join the pre-tokens that the cut could have
 changed are split again on the whole text, until a boundary of the new split meets a boundary of the next chunk's
 own split; from there on both agree, as the splitting pattern looks forward only.
 
-Nulls: a null text is empty and has no ids; a null id is kept. Repeated rows are kept. An empty table gives an empty result.
+Nulls: a null text is empty and has no ids; a null id is kept. Repeated rows are kept. Ties of worth are filled by the chunk's hash. Very long texts are cut and encoded whole.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from tessera.llm import common, pretokens
 
 WINDOW, MEAN_BITS, LEAST, MOST = 32, 11, 256, 65_536
 #: Bounds of the broadcast dictionary, and the chunks a task remembers besides.
-DICTIONARY_CHUNKS, DICTIONARY_BYTES, CACHE_CHUNKS = 8_192, 8 << 20, 2_000
+DICTIONARY_CHUNKS, DICTIONARY_BYTES, CACHE_CHUNKS = 8_192, 8 << 20, 4_000
 
 
 def byte_weights() -> np.ndarray:
@@ -81,7 +83,8 @@ class Encoded:
     def __init__(self, codec: pretokens.Codec, chunk: str):
         self.starts, self.ids, self.offsets = array("i"), array("i"), array("i")
         at, limit, self.safe = 0, len(chunk) - pretokens.LOOKAHEAD, 0
-        for p in codec.pattern.findall(chunk):
+        pieces = codec.pattern.findall(chunk) if codec.regular(chunk) else codec.split(chunk, 0, len(chunk), False)
+        for p in pieces:
             self.starts.append(at)
             self.offsets.append(len(self.ids))
             self.ids.extend(codec.piece(p))
@@ -92,17 +95,32 @@ class Encoded:
         self.offsets.append(len(self.ids))
 
 
-def encode_part(codec: pretokens.Codec, text: str, reuse: dict[str, Encoded], shared: dict[str, Encoded]) -> array:
+class Cache(dict):
+    """Encoded chunks, the one unused for longest first; ``hits`` and ``misses`` count the bytes looked for."""
+
+    def __init__(self, most: int = CACHE_CHUNKS):
+        self.most, self.hits, self.misses = most, 0, 0
+
+    def of(self, codec: pretokens.Codec, chunk: str) -> Encoded:
+        own = self.pop(chunk, None)
+        if own is None:
+            self.misses += len(chunk)
+            own = Encoded(codec, chunk)
+            if len(self) >= self.most:
+                del self[next(iter(self))]
+        else:
+            self.hits += len(chunk)
+        self[chunk] = own
+        return own
+
+
+def encode_part(codec: pretokens.Codec, text: str, reuse: Cache, shared: dict[str, Encoded]) -> array:
     """The ids of a text without special tokens, from its chunks."""
-    parts = chunks(text)
+    parts, regular = chunks(text), codec.regular(text)
     out, base, first = array("i"), 0, 0  # first: the chunk's pre-token from which the whole text's split agrees with it
     at: int | None = None  # where the split of the whole text stands if it agrees with no chunk yet
     for k, chunk in enumerate(parts):
-        own = shared.get(chunk) or reuse.get(chunk)
-        if own is None:
-            if len(reuse) >= CACHE_CHUNKS:
-                reuse.clear()
-            own = reuse[chunk] = Encoded(codec, chunk)
+        own = shared.get(chunk) or reuse.of(codec, chunk)
         end = base + len(chunk)
         if at is not None:  # repair the join: split on until a boundary is one of this chunk's, too
             ours = own.starts
@@ -112,9 +130,9 @@ def encode_part(codec: pretokens.Codec, text: str, reuse: dict[str, Encoded], sh
                     i += 1
                 if ours[i] == at - base:
                     break
-                m = codec.pattern.match(text, at)
-                out.extend(codec.piece(m[0]))
-                at = m.end()
+                piece = codec.pattern.match(text, at)[0] if regular else next(codec.split(text, at, len(text), False))
+                out.extend(codec.piece(piece))
+                at += len(piece)
             if at >= end:
                 base = end
                 continue
@@ -126,9 +144,7 @@ def encode_part(codec: pretokens.Codec, text: str, reuse: dict[str, Encoded], sh
     return out
 
 
-def encode_text(codec: pretokens.Codec, text: str, reuse: dict[str, Encoded], shared: dict[str, Encoded]) -> array:
-    if not codec.regular(text):
-        return array("i", codec.library.encode(text, add_special_tokens=False).ids)
+def encode_text(codec: pretokens.Codec, text: str, reuse: Cache, shared: dict[str, Encoded]) -> array:
     out = array("i")
     for part, special in codec.parts(text):
         if special is not None:
@@ -138,8 +154,24 @@ def encode_text(codec: pretokens.Codec, text: str, reuse: dict[str, Encoded], sh
     return out
 
 
+def worth_most(worth: DataFrame) -> DataFrame:
+    """Of (key, size, worth) the keys worth most: at most DICTIONARY_CHUNKS and DICTIONARY_BYTES, the last step of worth filled by hash.
+
+    Steps of worth are eighths of a power of two, so that the driver sees some hundred sums and nothing is sorted.
+    """
+    stepped = worth.withColumn("step", F.floor(8 * F.log2("worth")))
+    steps = stepped.groupBy("step").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy(F.desc("step")).collect()
+    chunks_left, bytes_left = DICTIONARY_CHUNKS, DICTIONARY_BYTES
+    for r in steps:
+        if r["n"] > chunks_left or r["size"] > bytes_left:
+            part = min(chunks_left / r["n"], bytes_left / r["size"])
+            return stepped.where((F.col("step") > r["step"]) | ((F.col("step") == r["step"]) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(part * (1 << 20)))))
+        chunks_left, bytes_left = chunks_left - r["n"], bytes_left - r["size"]
+    return stepped
+
+
 def dictionary(spark: SparkSession, texts: DataFrame) -> list[str]:
-    """The chunks worth most over all documents: at most DICTIONARY_CHUNKS of them and DICTIONARY_BYTES altogether."""
+    """The chunks worth most over all documents."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -148,14 +180,7 @@ def dictionary(spark: SparkSession, texts: DataFrame) -> list[str]:
 
     counted = texts.mapInArrow(count, "key binary, size long, n long").groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where("n > 1")
     worth = common.cut_lineage(spark, counted.withColumn("worth", F.col("size") * (F.col("n") - 1)))
-    all_worth = worth.agg(F.sum("worth")).first()[0] or 0
-    # shares of all savings: at most 8 * DICTIONARY_CHUNKS chunks can have one so large
-    best = worth.where(F.col("worth") * (8 * DICTIONARY_CHUNKS) >= all_worth).collect()
-    keys, total = set(), 0
-    for r in sorted(best, key=lambda r: (-r["worth"], bytes(r["key"])))[:DICTIONARY_CHUNKS]:
-        if total + r["size"] <= DICTIONARY_BYTES:
-            keys.add(bytes(r["key"]))
-            total += r["size"]
+    keys = {bytes(r["key"]) for r in worth_most(worth).select("key").collect()}  # DICTIONARY_CHUNKS
     if not keys:
         return []
     wanted = spark.sparkContext.broadcast(keys)
@@ -173,7 +198,7 @@ def dictionary(spark: SparkSession, texts: DataFrame) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["key", "chunk"])
 
     rows = texts.mapInArrow(fetch, "key binary, chunk string").groupBy("key").agg(F.min("chunk").alias("chunk"))
-    return [r["chunk"] for r in rows.select("chunk").collect()]  # at most DICTIONARY_BYTES
+    return [r["chunk"] for r in rows.select("chunk").collect()]  # DICTIONARY_BYTES
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -186,7 +211,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
     shared = spark.sparkContext.broadcast({c: Encoded(codec, c) for c in frequent})
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, reuse = pretokens.codec(vocabulary.value), {}
+        codec, reuse = pretokens.codec(vocabulary.value), Cache()
         for batch in it:
             texts = common.texts_of(batch.column(1))
             at = 0

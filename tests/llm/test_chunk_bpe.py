@@ -33,9 +33,35 @@ def test_equal_passages_fall_into_equal_chunks():
 
 def test_joins_agree_wherever_the_cuts_fall(monkeypatch):
     codec, rng = pretokens.Codec(pretokens.vocabulary()), random.Random(5)
-    bits = ["'", "l", "ll", "re", " ", "  ", "\n", "a", "Z", "9", "!", "é", "…", "we", "'ve"]
+    bits = ["'", "l", "ll", "re", " ", "  ", "\n", "a", "Z", "9", "!", "é", "…", "we", "'ve", "\U00010940"]
     for _ in range(400):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))
         at = sorted(rng.sample(range(1, len(text)), min(len(text) - 1, rng.randint(0, 6)))) if len(text) > 1 else []
         monkeypatch.setattr(chunk_bpe, "chunks", lambda t, at=at: [t[a:b] for a, b in zip([0, *at], [*at, len(t)])])
-        assert list(chunk_bpe.encode_part(codec, text, {}, {})) == codec.library.encode(text, add_special_tokens=False).ids, (text, at)
+        assert list(chunk_bpe.encode_part(codec, text, chunk_bpe.Cache(), {})) == codec.library.encode(text, add_special_tokens=False).ids, (text, at)
+
+
+def test_the_dictionary_is_full_however_alike_its_chunks_are(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    worth = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("key"), F.lit(2000).cast("long").alias("size"), F.lit(2000).cast("long").alias("worth"))
+    best = worth.limit(10).withColumns({"key": F.concat("key", F.lit(b"x")), "worth": F.lit(90_000).cast("long")})
+    got = chunk_bpe.worth_most(worth.unionByName(best))
+    assert got.where("worth = 90000").count() == 10
+    assert 0.8 * chunk_bpe.DICTIONARY_BYTES < got.count() * 2000 < 1.1 * chunk_bpe.DICTIONARY_BYTES
+
+
+def test_the_cache_keeps_what_was_used_last():
+    codec = pretokens.Codec(pretokens.vocabulary())
+    cache = chunk_bpe.Cache(2)
+    for chunk in ("aa", "bb", "aa", "cc", "aa"):
+        cache.of(codec, chunk)
+    assert list(cache) == ["cc", "aa"] and (cache.hits, cache.misses) == (4, 6)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    table = docs(spark, ["one two", "one two", "three"]).withColumn("doc_id", F.when(F.col("doc_id") == 2, F.lit(5)))
+    rows = chunk_bpe.digests(chunk_bpe.decode(spark, chunk_bpe.encode(spark, table))).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == [("5", 1), ("None", 2), ("None", 2)]
