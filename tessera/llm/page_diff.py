@@ -1,23 +1,32 @@
 """Main text of web pages by structure and by differencing pages of nearest URL.
 
-A page is cut into lines (blocks) with a zone: dropped by structure (menus, headers, footers, side bars, notices, adverts, forms, scripts, styles, reader
-comments: by element, role, class or id), inside an article element, or neither. Pages of a host are sorted by URL path, and each is paired with the
-neighbour whose path shares the longer beginning (ties: the one before). The lines outside articles of both are aligned by a longest common
-subsequence, and the shared ones are deleted as the site's frame. The main text is the article's lines, or, where a page has no article, the
-lines left by both tests. Lines inside an article are never deleted: copies of an article under neighbouring URLs, and sentences that articles
-share, belong to the text. For the same reason a pair whose shared lines make up over ``MIRROR`` of a page's text outside structure deletes nothing there.
+A page is cut into lines (blocks) with a zone: dropped by structure (elements such as nav, header, footer, aside, form, script; and elements whose role, class or id
+says nothing but advert, notice, side bar, comments or the like), inside an article or main element, or neither. End tags that HTML lets a page leave out are implied.
+
+Pages of a host are sorted by URL path, and each is paired with the neighbour whose path shares the longer beginning (ties: the one before). The lines of both, but
+for those dropped by structure, are aligned by a longest common subsequence. A neighbour that shares over ``MIRROR`` of the page's text is a mirror: it tells nothing
+about the frame, and the other neighbour is taken. The shared lines of all pairs are pooled by host, and delete:
+
+* lines outside articles, wherever a page of the host has one that some pair shares: the site's frame. So a mirrored page loses its frame, too;
+* lines inside articles only if ``SURE_PAIRS`` pairs or more share them and these are ``SURE_SHARE`` of all pairs of the host: a line such as "Share this article".
+  Copies of an article under neighbouring URLs, and passages that articles share, are text and stay.
+
+All other lines outside the dropped structure are the main text, in page order. A page that is alone on its host, or has mirrors only, is left to structure and to what the host's
+other pairs tell.
 
 Pages are sorted by a range shuffle of keys and line hashes only, so a host with a third of all pages is spread over many tasks; pages at
-the edges of a partition (two each) find their neighbours in a window over these edges alone.
+the edges of a partition (two each) find their neighbours in a window over these edges alone. Pooled lines are counted in the tasks before they are shuffled.
 
-Nulls: a null html is empty and gives the empty text; a null url has an empty host and path. Repeated rows are paired like any neighbours. An empty table
-gives an empty result.
+Nulls: a null html is empty and gives the empty text; a null url has an empty host and path. Repeated rows and equal URLs are neighbours like any other, in the order of
+the written table; equal pages are mirrors. Very long pages are read whole, in time linear in their length but for the alignment, which takes lines squared / 64. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as markup
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,83 +37,157 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 MIRROR = 0.5
+#: Pairs of a host that must share a line inside articles, and their share of the host's pairs, before it is deleted.
+SURE_PAIRS, SURE_SHARE = 8, 0.75
 #: Elements whose content is never main text, elements that don't end a line, elements without content.
 DROPPED = frozenset("nav header footer aside form script style noscript template svg iframe button select textarea head title menu dialog canvas object audio video map datalist".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is raw text up to their end tag.
+#: Elements whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe".split())
-#: Words of a class, id or role that mark what is not main text.
+#: Elements whose start ends an open paragraph, by HTML's rules.
+ENDS_P = frozenset("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
+#: An element's start ends the open elements named, down to the nearest of the others, by HTML's rules.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "body": ({"head"}, {"html"}),
+}
+#: Elements through which no paragraph is ended from inside.
+BARRIER = frozenset("table td th caption html template object button".split())
+#: Words of a class, id or role that mark what is not main text, and words that say nothing beside them.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert sidebar sidebars aside comment comments discussion replies "
     "reply footer header masthead nav navbar navigation menu menus breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager "
     "copyright disclaimer legal search searchbox complementary contentinfo".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NEUTRAL = frozenset("area bar block bottom box button buttons col column container content form global group holder inner item items left links list main outer page panel posts primary reader right row secondary section site slot text top user visitor wrap wrapper".split())
+START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+#: What ends a tag, or begins a quoted value in it.
+INSIDE = re.compile(r"=\s*([\"'])|>")
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 STRUCTURE, ARTICLE, OTHER = 0, 1, 2
 
 
 def marked(attributes: str) -> bool:
-    """Whether a class, id or role says that an element is not main text."""
-    return any(w in MARKED for value in ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z]+", value.lower()))
+    """Whether a class, id or role says that an element is not main text, and nothing else: "ad-banner" does, "legal-analysis" doesn't."""
+    for value in ATTRIBUTE.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+            if any(w in MARKED for w in words) and all(w in MARKED or w in NEUTRAL for w in words):
+                return True
+    return False
+
+
+class Open:
+    """The open elements, with the number of those that drop their content and of articles. Every step takes constant time, spread over the page."""
+
+    def __init__(self) -> None:
+        self.names: list[tuple[str, bool, bool]] = []  # name, drops, is an article
+        self.at: dict[str, list[int]] = defaultdict(list)  # positions by name
+        self.blocks: list[int] = []  # positions of elements that aren't inline
+        self.dropping = self.articles = 0
+
+    def push(self, name: str, drops: bool) -> None:
+        article = name in ("article", "main")
+        self.at[name].append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append((name, drops, article))
+        self.dropping += drops
+        self.articles += article
+
+    def pop_to(self, size: int) -> None:
+        while len(self.names) > size:
+            name, drops, article = self.names.pop()
+            self.at[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            self.dropping -= drops
+            self.articles -= article
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def start(self, name: str, drops: bool) -> None:
+        if name in IMPLIED:
+            ended, down_to = IMPLIED[name]
+            while (i := self.last(ended)) > self.last(down_to):
+                self.pop_to(i)
+        if name in ENDS_P and self.at.get("p") and self.at["p"][-1] > self.last(BARRIER):
+            self.pop_to(self.at["p"][-1])
+        if name not in VOID:
+            self.push(name, drops)
+
+    def end(self, name: str) -> None:
+        if not self.at.get(name):
+            return
+        i = self.at[name][-1]
+        if name in INLINE and self.blocks and i < self.blocks[-1]:
+            return  # an inline element left open outside this block
+        if name == "p" and i < self.last(BARRIER):
+            return
+        self.pop_to(i)
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """The lines of a page with their zones, in page order, white space made single and trimmed."""
     out: list[tuple[str, int]] = []
     words: list[str] = []
-    article = main = drop_depth = 0
-    drop_tag, at = "", 0
-
-    def zone() -> int:
-        return STRUCTURE if drop_tag else ARTICLE if article or main else OTHER
+    stack, at = Open(), 0
+    last_end, last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
 
-    def end() -> None:
+    def flush() -> None:
         text = " ".join("".join(words).split())
         if text:
-            out.append((text, zone()))
+            out.append((text, STRUCTURE if stack.dropping else ARTICLE if stack.articles else OTHER))
         words.clear()
 
-    while m := TAG.search(page, at):
+    def tag_end(i: int) -> int:
+        """The position behind the tag that is open at ``i``; 0 if it isn't closed."""
+        first = i
+        while i <= last_end and (m := INSIDE.search(page, i)):
+            i = m.end()
+            if not m[1]:
+                return i
+            if last_quote[m[1]] >= i:
+                i = page.index(m[1], i) + 1
+        return page.find(">", first) + 1
+
+    while m := START.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             words.append(markup.unescape(piece) if "&" in piece else piece)
-        at = m.end()
-        close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        if m[1]:
+            stop = page.find("-->", m.end())
+            at = stop + 3 if stop >= 0 else len(page)
             continue
-        name = name.lower()
-        if name not in INLINE or drop_tag == name:
-            end()
-        if close:
-            if drop_tag == name:
-                drop_depth -= 1
-                if not drop_depth:
-                    drop_tag = ""
-            elif not drop_tag:
-                article = max(0, article - (name == "article"))
-                main = max(0, main - (name == "main"))
+        at = tag_end(m.end()) if m.end() <= last_end else 0
+        if not at:  # no tag is closed any more: the rest is no text
+            at = len(page)
+            break
+        if not m[3]:
             continue
-        if name in VOID or attributes.endswith("/"):
+        name = m[3].lower()
+        if m[2]:
+            if name not in INLINE or stack.dropping:
+                flush()
+            stack.end(name)
             continue
+        drops = name in DROPPED
+        attributes = page[m.end() : at - 1]
+        if not drops and attributes and name not in VOID and name not in ("html", "body", "main"):
+            drops = marked(attributes)
+        if name not in INLINE or drops:
+            flush()
         if name in RAW:
             stop = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
-            at = stop.start() if stop else len(page)
-            if stop:
-                at = page.find(">", at) + 1 or len(page)
+            at = page.find(">", stop.start()) + 1 or len(page) if stop else len(page)
             continue
-        if drop_tag:
-            drop_depth += name == drop_tag
-        elif name in DROPPED or (attributes and name not in ("html", "body", "main") and marked(attributes)):
-            end()
-            drop_tag, drop_depth = name, 1
-        else:
-            article += name == "article"
-            main += name == "main"
+        stack.start(name, drops)
     if at < len(page):
         words.append(markup.unescape(page[at:]))
-    end()
+    flush()
     return out
 
 
@@ -136,10 +219,7 @@ def shared_prefix(a: str, b: str) -> int:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, mark, url, host, path, whether the page has an article, the candidate lines of its text, and hashes and lengths of its lines outside articles.
-
-    The candidate lines are the article's, or else those outside structure.
-    """
+    """page_id, mark, url, host, path, and the lines outside the dropped structure: their texts, whether inside an article, hashes and lengths."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     known = F.instr(url, "://") > 0
     part = lambda i: F.when(known, F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", i)).otherwise(F.lit(""))
@@ -148,25 +228,22 @@ def parsed(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for page in common.texts_of(batch.column(5)):
-            lines = lines_of(page)
-            article = any(z == ARTICLE for _, z in lines)
-            candidates = [t for t, z in lines if z == (ARTICLE if article else OTHER)]
-            frame = [(t, z) for t, z in lines if z != ARTICLE]
-            out.append((article, candidates, [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in frame], [len(t) if z == OTHER else 0 for t, z in frame]))
-        kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds))], names=["page_id", "mark", "url", "host", "path", "article", "lines", "hashes", "sizes"])
+            lines = [(t, z == ARTICLE) for t, z in lines_of(page) if z != STRUCTURE]
+            out.append(([t for t, _ in lines], [z for _, z in lines], [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in lines], [len(t) for t, _ in lines]))
+        kinds = (pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, kinds))], names=["page_id", "mark", "url", "host", "path", "lines", "inside", "hashes", "sizes"])
 
-    return common.map_batches(rows, run, "page_id long, mark long, url string, host string, path string, article boolean, lines array<string>, hashes array<long>, sizes array<long>")
+    return common.map_batches(rows, run, "page_id long, mark long, url string, host string, path string, lines array<string>, inside array<boolean>, hashes array<long>, sizes array<long>")
 
 
-def deleted_lines(keys: DataFrame) -> DataFrame:
-    """mark, partner and deleted (positions among the lines outside structure and articles) of pages that share lines with their nearest one."""
+def neighbours(keys: DataFrame) -> DataFrame:
+    """own, before and after (structs of mark, host, path, hashes, sizes; null at the ends) of every page, sorted by host, path and mark."""
     own = "mark long, host string, path string, hashes array<long>, sizes array<long>"
     dealt = keys.select("mark", "host", "path", "hashes", "sizes").repartitionByRange("host", "path", "mark").sortWithinPartitions("host", "path", "mark")
     plain = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = ["mark", "host", "path", "hashes", "sizes"]
 
-    def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = now = None
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -186,40 +263,57 @@ def deleted_lines(keys: DataFrame) -> DataFrame:
             yield rows([(now, before, None, True)])
 
     struct = f"struct<{own.replace(' ', ':').replace(',:', ',')}>"
-    near = common.cut_lineage(keys.sparkSession, dealt.mapInArrow(neighbours, f"own {struct}, before {struct}, after {struct}, edge boolean"))
+    near = common.cut_lineage(keys.sparkSession, dealt.mapInArrow(run, f"own {struct}, before {struct}, after {struct}, edge boolean"))
     order = Window.orderBy("own.host", "own.path", "own.mark")  # over two rows a partition
     edges = near.where("edge").select("own", F.coalesce("before", F.lag("own").over(order)).alias("before"), F.coalesce("after", F.lead("own").over(order)).alias("after"), "edge")
+    return near.where("not edge").unionByName(edges).select("own", "before", "after")
+
+
+def aligned(own: dict, before: dict | None, after: dict | None) -> tuple[int, set[int]] | None:
+    """The partner's mark and the hashes of the shared lines, of the nearest neighbour that is no mirror; None if there is none."""
+    others = [(shared_prefix(own["path"], x["path"]), x) for x in (before, after) if x is not None and x["host"] == own["host"]]
+    for _, partner in sorted(others, key=lambda x: -x[0]):
+        shared = common_lines(own["hashes"], partner["hashes"])
+        if sum(own["sizes"][i] for i in shared) <= MIRROR * sum(own["sizes"]):
+            return partner["mark"], {own["hashes"][i] for i in shared}
+    return None
 
-    def align(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def frames(keys: DataFrame) -> DataFrame:
+    """host, hash, pairs that share the line and pairs of the host, of every line that some pair shares."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for own, before, after in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            others = [(shared_prefix(own["path"], x["path"]), x) for x in (before, after) if x is not None and x["host"] == own["host"]]
-            if not others or not own["hashes"]:
-                continue
-            partner = max(others, key=lambda x: x[0])[1]
-            shared = set(common_lines(own["hashes"], partner["hashes"]))
-            sizes = own["sizes"]
-            if not shared or sum(sizes[i] for i in shared) > MIRROR * sum(sizes):
-                continue
-            free = [i for i, n in enumerate(sizes) if n]
-            out.append((own["mark"], partner["mark"], [k for k, i in enumerate(free) if i in shared]))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["mark", "partner", "deleted"])
-
-    pairs = near.where("not edge").unionByName(edges).select("own", "before", "after")
-    return common.map_batches(pairs, align, "mark long, partner long, deleted array<long>")
-
-
-def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id, url and text of every page."""
+            if own["hashes"] and (found := aligned(own, before, after)):
+                out.append((own["host"], sorted(found[1])))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 2, (pa.string(), pa.list_(pa.int64())))], names=["host", "shared"])
+
+    pairs = common.cut_lineage(keys.sparkSession, common.map_batches(neighbours(keys), run, "host string, shared array<long>"))
+    lines = pairs.select("host", F.explode("shared").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pairs"))
+    return lines.join(pairs.groupBy("host").agg(F.count("*").alias("all_pairs")), "host")
+
+
+def deleted_lines(rows: DataFrame) -> DataFrame:
+    """mark and deleted (positions among the lines) of the pages that lose lines by differencing."""
+    frame = common.cut_lineage(rows.sparkSession, frames(rows))
+    sure = (F.col("pairs") >= SURE_PAIRS) & (F.col("pairs") >= SURE_SHARE * F.col("all_pairs"))
+    own = rows.select("mark", "host", F.posexplode(F.arrays_zip("hashes", "inside")).alias("pos", "line")).select("mark", "host", "pos", F.col("line.hashes").alias("hash"), F.col("line.inside").alias("inside"))
+    return own.join(frame, ["host", "hash"]).where(~F.col("inside") | sure).groupBy("mark").agg(F.collect_set("pos").alias("deleted"))
+
+
+def main_text(spark: SparkSession, pages: DataFrame, differencing: bool = True) -> DataFrame:
+    """page_id, url, text and n_deleted (lines that differencing took away) of every page."""
     common.prepare(spark)
     rows = common.written(spark, parsed(pages), "pages")
-    gone = deleted_lines(rows).withColumnRenamed("mark", "_mark").drop("partner")
-    whole = rows.where("article").select("page_id", "url", F.array_join("lines", " ").alias("text"))
-    framed = rows.where("not article").join(gone, F.col("mark") == F.col("_mark"), "left")
-    left = F.filter("lines", lambda _, i: ~F.array_contains(F.coalesce("deleted", F.array().cast("array<long>")), i.cast("long")))
-    return whole.unionByName(framed.select("page_id", "url", F.array_join(left, " ").alias("text")))
+    if not differencing:
+        return rows.select("page_id", "url", F.array_join("lines", " ").alias("text"), F.lit(0).cast("long").alias("n_deleted"))
+    gone = deleted_lines(rows).withColumnRenamed("mark", "_mark")
+    left = F.filter("lines", lambda _, i: ~F.coalesce(F.array_contains("deleted", i), F.lit(False)))
+    out = rows.join(gone, F.col("mark") == F.col("_mark"), "left")
+    return out.select("page_id", "url", F.array_join(left, " ").alias("text"), F.coalesce(F.size("deleted"), F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = main_text(spark, common.table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted")
