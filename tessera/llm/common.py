@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import sys
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -114,9 +115,11 @@ def _drop_left() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; listeners may hold the last one for a moment."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def row_mark(docs: DataFrame) -> Column:
