@@ -115,14 +115,16 @@ def _drop_left() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; listeners may hold the last one for a moment."""
-    for _ in range(2):
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; on a cluster, listeners may hold the last one for a moment."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(0.3)
         gc.collect()
-        time.sleep(0.2)
         spark.sparkContext._jvm.System.gc()
 
 
-def row_mark(docs: DataFrame) -> Column:
-    """A hash of the text that tells rows of one id apart; constant where no id repeats and none is null."""
-    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 or doc_id is null")
-    return F.xxhash64(F.col("text").cast("string")) if repeated.limit(1).count() else F.lit(0).cast("long")
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether an id repeats or is null, so that rows must be told apart by their texts."""
+    many = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+    return many.where("count > 1 or doc_id is null").limit(1).count() > 0

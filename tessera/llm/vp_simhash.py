@@ -5,7 +5,8 @@ document's 3-word shingles. Distinct fingerprints are dealt to the leaves of a v
 a vantage fingerprint and a radius, and a fingerprint lives on one side of it. A query also visits the other side
 where the triangle inequality cannot exclude a partner: d(q, v) - r <= t < d(q, v) + r. So every pair within r meets in the
 home leaf of its larger fingerprint. The tree is fitted on a bounded sample of fingerprints, which only sets its
-shape; every fingerprint is indexed. Leaves grown past ``LEAF`` are split further where they are searched.
+shape; every fingerprint is indexed. A leaf is searched by a tree of its own, as deep as it needs. Leaves of more than ``SHARD`` fingerprints, at home or visiting, are dealt by hash into
+home shards and query shards, and every home shard meets every query shard in a task of its own, so that no task holds more than about 2 SHARD fingerprints however many there are.
 Leaves emit spanning links, not all pairs, and components are found on distinct fingerprints, so a group of copies,
 however large, is one node.
 
@@ -29,8 +30,10 @@ from tessera.llm import common
 from tessera.llm.components import components
 
 LEAF = 2048
-#: Fingerprints that shape the tree, on average, and its greatest depth: at most 2**14 nodes are broadcast.
-SAMPLE, MAX_DEPTH = 20_000, 14
+#: Fingerprints that shape the tree, on average, and its greatest depth: at most 2**17 nodes are broadcast.
+SAMPLE, MAX_DEPTH = 100_000, 16
+#: Fingerprints of a leaf that one task holds.
+SHARD = 1 << 18
 
 
 def fingerprint(raw: bytes, width: int = 3) -> int:
@@ -165,12 +168,33 @@ def link(spark: SparkSession, fps: DataFrame, slack: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(signed(own[at]), pa.int64()), pa.array(home)], names=["leaf", "fp", "home"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        own = group["fp"].to_numpy(np.int64).view(np.uint64)
-        found = spanning(links_within(np.unique(own[group["home"].to_numpy(bool)]), np.unique(own), slack))
+        own, kind = group["fp"].to_numpy(np.int64).view(np.uint64), group["kind"].to_numpy()
+        found = spanning(links_within(np.unique(own[kind != QUERY]), np.unique(own[kind != HOME]), slack))
         a, b = (np.array([x[i] for x in found], np.uint64) for i in (0, 1))
         return pd.DataFrame({"a": signed(a), "b": signed(b)})
 
-    return fps.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean").groupBy("leaf").applyInPandas(search, "a long, b long")
+    dealt = common.written(spark, fps.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean"), "leaves")
+    return sharded(spark, dealt).groupBy("leaf", "i", "j").applyInPandas(search, "a long, b long")
+
+
+#: What a fingerprint is to a shard: at home, visiting, or both.
+HOME, QUERY, BOTH = 0, 1, 2
+
+
+def sharded(spark: SparkSession, dealt: DataFrame) -> DataFrame:
+    """leaf, i (home shard), j (query shard), fp and kind; leaves of up to SHARD fingerprints are one shard."""
+    sizes = dealt.groupBy("leaf").agg(F.count("*").alias("visits"), F.sum(F.col("home").cast("long")).alias("homes"))
+    large = sizes.where(F.col("visits") > SHARD).select("leaf", F.ceil(F.col("homes") / SHARD).cast("int").alias("n"), F.ceil(F.col("visits") / SHARD).cast("int").alias("m"))  # at most a row a leaf
+    rows = common.cut_lineage(spark, large)
+    one = F.lit(0)
+    if not rows.limit(1).count():
+        return dealt.select("leaf", one.alias("i"), one.alias("j"), "fp", F.when(F.col("home"), BOTH).otherwise(QUERY).alias("kind"))
+    both = dealt.join(F.broadcast(rows), "leaf", "left").withColumns({"n": F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)), "m": F.coalesce("m", F.lit(1))})
+    whole = both.where("m = 1").select("leaf", one.alias("i"), one.alias("j"), "fp", F.when(F.col("home"), BOTH).otherwise(QUERY).alias("kind"))
+    parts, own = both.where("m > 1"), lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+    homes = parts.where("home").select("leaf", own("n").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), "fp", F.lit(HOME).alias("kind"))
+    queries = parts.select("leaf", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), own("m").alias("j"), "fp", F.lit(QUERY).alias("kind"))
+    return whole.unionByName(homes).unionByName(queries)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, slack: int = 2) -> DataFrame:

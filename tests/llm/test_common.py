@@ -22,13 +22,11 @@ def test_written_tables_come_back_and_go(spark):
     assert not os.path.exists(folder)
 
 
-def test_rows_of_one_id_are_marked_apart_only_where_ids_repeat(spark):
+def test_repeated_and_null_ids_are_seen(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    assert {r["m"] for r in rows.select(common.row_mark(rows).alias("m")).collect()} == {0}
-    twice = rows.unionByName(spark.createDataFrame([(2, "c")], rows.schema))
-    assert len({r["m"] for r in twice.select(common.row_mark(twice).alias("m")).collect()}) == 3
-    null = rows.unionByName(spark.createDataFrame([(None, "c")], rows.schema))
-    assert len({r["m"] for r in null.select(common.row_mark(null).alias("m")).collect()}) == 3
+    assert not common.repeated_ids(rows) and not common.repeated_ids(rows.limit(0))
+    assert common.repeated_ids(rows.unionByName(spark.createDataFrame([(2, "c")], rows.schema)))
+    assert common.repeated_ids(rows.unionByName(spark.createDataFrame([(None, "c")], rows.schema)))
 
 
 def test_hold_out_buckets(spark):

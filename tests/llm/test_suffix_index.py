@@ -39,28 +39,50 @@ def test_kept_bytes_match_brute_force(spark):
     assert all(isinstance(r["kept"], str) for r in text)
 
 
-def test_hot_anchors_and_long_texts_give_the_same(spark, monkeypatch):
+def test_long_keys_long_texts_and_any_batches_give_the_same(spark, monkeypatch):
     texts = corpus(random.Random(17))
+    edge = prose(random.Random(27), 40)
+    texts += [prose(random.Random(100 + i), 30) + edge + prose(random.Random(200 + i), 30) for i in range(25)]  # an anchor with many kinds
     monkeypatch.setattr(si, "PIECE", 300)
     common.prepare(spark)
-    rows = docs(spark, texts).selectExpr("doc_id", "cast(0 as long) as th", "text")
+    rows = docs(spark, texts).selectExpr("doc_id", "cast(0 as long) as th", "text", "1L as many")
     want = brute(texts, 200)
-    for hot in (1, 1000):
-        spans = {r["doc_id"]: si.merged(r["spans"]) for r in si.repeated_spans(spark, rows, 200, hot).collect()}
-        assert [si.cut((t or "").encode(), spans.get(i, [])) for i, t in enumerate(texts)] == want
+    for group, batches in ((1, 1), (3, 2)):
+        spans = {r["doc_id"]: si.merged(r["spans"]) for r in si.repeated_spans(spark, rows, 200, group, batches).collect()}
+        assert [si.cut((t or "").encode(), spans.get(i, [])) for i, t in enumerate(texts)] == want, (group, batches)
 
 
-def test_index_family_finds_equal_windows_across_levels():
+def test_equal_windows_by_definition():
     rng = random.Random(18)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(6, 20))).encode() for _ in range(60)]
-    family = si.IndexFamily(8)
-    for i in range(0, 60, 7):
-        family.add(strings[i : i + 7])
     seen = Counter(s[i : i + 8] for s in strings for i in range(len(s) - 7))
-    for s, found in zip(strings, family.repeated):
+    for s, found in zip(strings, si.equal_windows(strings, 8)):
         assert found == {i for i in range(len(s) - 7) if seen[s[i : i + 8]] > 1}
-    sizes = [len(x) for x in family.levels]
-    assert sizes == sorted(sizes, reverse=True) and len(sizes) <= 7
+
+
+def test_the_family_meets_later_batches_and_merges_geometrically(spark):
+    rng = random.Random(28)
+    shared, common_ = prose(rng, 60), prose(rng, 60)
+    common.prepare(spark)
+    family, met = si.Family(spark), []
+    for k in range(5):
+        texts = [prose(rng, 80), prose(rng, 30) + common_, (shared if k in (1, 4) else prose(rng, 60))]
+        rows = docs(spark, texts, first=10 * k).selectExpr("doc_id", "cast(0 as long) as th", "text", "1L as many")
+        met.append({r["doc_id"] for r in family.add(rows).select("doc_id").distinct().collect()})
+    assert met[0] == set() and 1 in met[1] and 11 in met[1] and 12 not in met[1] and {12, 42, 1, 11, 41} <= met[4] and 0 not in met[4]
+    assert [size for size, _ in family.levels] == [4, 1]
+    family.drop()
+
+
+def test_equal_rows_are_one_text_with_a_multiplicity(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    text = prose(random.Random(29), 60)
+    table = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    seen = []
+    monkeypatch.setattr(si, "with_bytes", lambda rows, wanted, length, f=si.with_bytes: (seen.append(rows.count()), f(rows, wanted, length))[1])
+    got = si.deduplicated(spark, table).collect()
+    assert len(got) == 1000 and all(len(r["kept"]) == 0 for r in got) and seen == [1]
 
 
 def test_repeated_ids_null_ids_and_empty_tables(spark):
