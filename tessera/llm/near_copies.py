@@ -3,11 +3,13 @@
 Texts with the same set are one node under a hash of the set. Candidates come from two routes. The vantage-point tree of
 ``vp_simhash`` links fingerprints of the sets at 2 differing bits or fewer; this only joins large groups early. Completeness comes from prefixes:
 under any common order of shingles, two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each. So every
-list of texts that share a prefix shingle is searched: large lists against a centre first, until their members are mostly joined, then
-all pairs of a list that are not in one group yet, less those whose lengths and shared prefix rule the similarity out.
-Every link is verified on the whole sets. The order puts shingles that are frequent in a hash sample last; it sets the cost and never the result.
+list of texts that share a prefix shingle is searched. Large lists are searched from a centre first, the text that shares the most with others (the original
+of its edited copies, if it is there), then from the best one that this didn't reach; then all pairs of a list that are not in one group yet, less those whose
+lengths and shared prefix rule the similarity out. Every link is verified on the whole sets. The order puts shingles that are frequent in a hash sample last; order and centres set the
+cost and never the result.
 
-Nulls: a null text is empty, and empty texts are copies of each other. Texts of fewer than 5 words are one shingle.
+Nulls: a null text is empty, and empty texts are copies of each other. Texts of fewer than 5 words are one shingle. Repeated rows and null ids are nodes by their sets like any other. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ WIDTH = 5
 #: Sets sampled for the order of shingles, occurrences there that make a shingle frequent, and how many are broadcast at most.
 SAMPLE, OFTEN, MOST = 20_000, 4, 500_000
 #: Lists above this size are searched from a centre first, in at most that many rounds.
-LARGE, ROUNDS = 16, 4
+LARGE, ROUNDS = 16, 2
 FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -71,16 +73,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash that tells texts apart under one id), key and fp of every row."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in common.bytes_of(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _longs([key_of(s) for s in sets]), _longs([fingerprint_of(s) for s in sets])], names=["doc_id", "th", "key", "fp"])
-
-    return common.map_batches(_texts(docs), run, "doc_id long, th long, key long, fp long")
-
-
 def frequent(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles that are frequent in a sample of texts, the most frequent last."""
 
@@ -93,37 +85,31 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
     return top.column(0).to_numpy().view(np.uint64)[::-1]
 
 
-def postings(spark: SparkSession, docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """s, key, n and pos of every set's prefix."""
+def nodes(spark: SparkSession, docs: DataFrame, late: np.ndarray) -> DataFrame:
+    """doc_id, th (a hash that tells texts apart under one id), key and fp of every row, n (shingles) and the prefix of its set; ``late`` stands last in the order."""
     order = np.argsort(late, kind="stable")
     shared = spark.sparkContext.broadcast((late[order], order.astype(np.int64)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, rank = shared.value
-        s, key, n, pos = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int32)]
+        key, fp, n, prefix = [], [], [], []
         for raw in common.bytes_of(batch.column(2)):
             own = shingles(raw)
-            size = prefix_size(len(own))
-            if len(known) and size:
+            key.append(key_of(own))
+            fp.append(fingerprint_of(own))
+            n.append(len(own))
+            if len(known) and len(own):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 own = own[np.argsort(np.where(known[at] == own, rank[at] + 1, 0), kind="stable")]
-                name = key_of(np.sort(own))
-            else:
-                name = key_of(own)
-            s.append(own[:size])
-            pos.append(np.arange(size, dtype=np.int32))
-            key += [name] * size
-            n += [len(own)] * size
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64), pa.int64()), _longs(key), pa.array(n, pa.int32()), pa.array(np.concatenate(pos), pa.int32())], names=["s", "key", "n", "pos"])
+            prefix.append(own[: prefix_size(n[-1])].view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _longs(key), _longs(fp), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "th", "key", "fp", "n", "prefix"])
 
-    return common.map_batches(_texts(docs), run, "s long, key long, n int, pos int").distinct()
+    return common.map_batches(_texts(docs), run, "doc_id long, th long, key long, fp long, n int, prefix array<long>")
 
 
-def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have a Jaccard similarity of 0.8 or more."""
-    pairs = common.cut_lineage(spark, pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("th").isNull().alias("none"), "th")).alias("f"))
+def sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and the whole set (own) of the keys wanted, each from one text that has it."""
+    first = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("th").isNull().alias("none"), "th")).alias("f"))
     first = first.select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
     texts = _texts(docs).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left_semi")
 
@@ -131,54 +117,66 @@ def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataF
         sets = [shingles(t) for t in common.bytes_of(batch.column(2))]
         return pa.RecordBatch.from_arrays([_longs([key_of(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "own"])
 
-    sets = common.written(spark, common.map_batches(texts, run, "key long, own array<long>").dropDuplicates(["key"]), "shingle-sets")
+    return common.map_batches(texts, run, "key long, own array<long>").dropDuplicates(["key"])
+
+
+def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have a Jaccard similarity of 0.8 or more."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    out = common.cut_lineage(spark, pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
-    common.drop_written(spark, sets)
-    return out
+    return common.cut_lineage(spark, pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, th, key and component (the smallest key of the group) of every row."""
     common.prepare(spark)
-    rows = common.cut_lineage(spark, nodes(docs))
-    n = rows.count()
+    rows = common.written(spark, nodes(spark, docs, frequent(docs, docs.count())), "nodes")
+    # the complete route: lists of the keys that share a prefix shingle
+    every = rows.select("key", "n", "prefix").dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "s"))
+    every = common.written(spark, every, "postings")
+    lists = every.groupBy("s").agg(F.count("*").alias("many")).where("many > 1")
+    live = every.join(lists, "s")
+    weight = live.groupBy("key").agg(F.sum("many").alias("weight"))  # how much a text shares with others
+    weight = common.cut_lineage(spark, weight)
+    live = common.written(spark, live.drop("many").join(weight, "key"), "lists")
+    common.drop_written(spark, every)
+    sets = common.written(spark, sets_of(docs, rows.select("doc_id", "th", "key"), weight.select("key")), "shingle-sets")
     # the tree's route: sets of one fingerprint, and of linked fingerprints
     reps = common.cut_lineage(spark, rows.groupBy("fp").agg(F.min("key").alias("rep")))
     tree = vp_simhash.link(spark, reps.select("fp"))
-    near = rows.join(reps, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
+    near = rows.join(reps, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     near = near.unionByName(tree.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("_a")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    # the complete route
-    every = common.written(spark, postings(spark, docs, frequent(docs, n)), "postings")
-    lists = every.groupBy("s").agg(F.count("*").alias("many")).where("many > 1").select("s")
-    live = common.written(spark, every.join(lists, "s"), "lists")
-    common.drop_written(spark, every)
-    size = (F.least("n", "m") * 5 >= F.greatest("n", "m") * 4)
-    links = verified(spark, docs, rows, near)
-    for turn in range(ROUNDS):
-        named = _named(spark, live, links)
-        large = named.groupBy("s").agg(F.count("*").alias("many"), F.countDistinct("root").alias("roots"), F.min(F.struct(F.xxhash64("key", "s", F.lit(turn)).alias("o"), "key", "n", "root")).alias("c"))
-        large = large.where((F.col("many") > LARGE) & (F.col("roots") > 1)).select("s", F.col("c.key").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("centre"))
-        pairs = common.cut_lineage(spark, named.join(large, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b").distinct())
-        if not pairs.limit(1).count():
-            break
-        more = verified(spark, docs, rows, pairs)
-        if not more.limit(1).count():
-            break
-        links = common.cut_lineage(spark, links.unionByName(more))
+    size = F.least("n", "m") * 5 >= F.greatest("n", "m") * 4
+    links = verified(spark, sets, near)
     named = common.cut_lineage(spark, _named(spark, live, links))
-    other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("root").alias("other"))
+    tried = None
+    for _ in range(ROUNDS):
+        # the best text of every large list, but for those in a group that was searched from in this list before
+        left = named if tried is None else named.join(tried, ["s", "root"], "left_anti")
+        best = left.groupBy("s").agg(F.max(F.struct("weight", "key", "n", "root")).alias("c"))
+        large = named.groupBy("s").agg(F.count("*").alias("many"), F.countDistinct("root").alias("roots")).where((F.col("many") > LARGE) & (F.col("roots") > 1))
+        centres = common.cut_lineage(spark, large.join(best, "s").select("s", F.col("c.key").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("centre")))
+        if not centres.limit(1).count():
+            break
+        pairs = named.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
+        more = verified(spark, sets, pairs)
+        links = links.unionByName(more)
+        named = common.cut_lineage(spark, _named(spark, live, links))
+        now = centres.join(named.select("s", F.col("key").alias("b"), "root"), ["s", "b"]).select("s", "root")
+        tried = now if tried is None else tried.unionByName(now)
+    other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     found = named.join(other, "s").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & size)
     found = found.groupBy(F.col("key").alias("a"), "b", "n", "m").agg(F.count("*").alias("c"))
     # shared shingles that are not in both prefixes lie behind the one that ends first
     behind = lambda n: F.ceil(4 * F.col(n) / 5) - 1
     found = found.where(9 * (F.col("c") + F.greatest(behind("n"), behind("m"))) >= 4 * (F.col("n") + F.col("m")))
-    links = links.unionByName(verified(spark, docs, rows, found.select("a", "b")))
+    links = links.unionByName(verified(spark, sets, found.select("a", "b")))
     roots = components(spark, links).select(F.col("node").alias("key"), "root")
-    out = rows.join(roots, "key", "left").select("doc_id", "th", "key", F.coalesce("root", "key").alias("component"))
-    out = common.cut_lineage(spark, out)
-    common.drop_written(spark, live)
+    out = common.cut_lineage(spark, rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", "key", F.coalesce("root", "key").alias("component")))
+    for t in (live, sets, rows):
+        common.drop_written(spark, t)
+    common.release(spark)
     return out
 
 

@@ -69,3 +69,17 @@ def test_groups_match_brute_force(spark, monkeypatch):
     twice = table.unionByName(table.limit(3)).unionByName(spark.createDataFrame([(None, "lost words here", "en", "s", 1)], table.schema))
     assert vs.near_duplicates(spark, twice).count() == len(texts) + 4
     assert vs.near_duplicates(spark, table.limit(0)).count() == 0
+
+
+def test_sharded_leaves_lose_no_link(spark, monkeypatch):
+    fps = planted(np.random.default_rng(5), 900)
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    groups = []
+    for shard in (1 << 18, 100):
+        monkeypatch.setattr(vs, "SHARD", shard)
+        monkeypatch.setattr(vs, "LEAF", 300)
+        links = vs.link(spark, table)
+        groups.append(sorted(map(tuple, components(spark, links).collect())))
+    assert groups[0] == groups[1] and len(groups[0]) > 200
+    dealt = spark.createDataFrame([(0, int(x), True) for x in fps.view(np.int64)], "leaf long, fp long, home boolean")
+    assert vs.sharded(spark, dealt).groupBy("leaf", "i", "j").count().agg({"count": "max"}).first()[0] < 2 * 100 * 1.6
