@@ -28,7 +28,7 @@ from tessera.llm import common, pretokens
 
 WINDOW, MEAN_BITS, LEAST, MOST = 32, 11, 256, 65_536
 #: Bounds of the broadcast dictionary, and the chunks a task remembers besides.
-DICTIONARY_CHUNKS, DICTIONARY_BYTES, CACHE_CHUNKS = 8_192, 8 << 20, 4_000
+DICTIONARY_CHUNKS, DICTIONARY_BYTES, CACHE_CHUNKS = 4_096, 4 << 20, 2_000
 
 
 def byte_weights() -> np.ndarray:
@@ -225,6 +225,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
                 flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids if len(x)] or [np.zeros(0, np.int32)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
                 at = upto
+        common.trim_memory()
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 

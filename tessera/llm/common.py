@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import sys
 import time
@@ -41,12 +42,20 @@ def worker_state() -> dict:
     return sys.modules[name].state
 
 
+def trim_memory() -> None:
+    """Gives memory that a task has freed back to the system, as Python workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """One output batch for each input batch, in Arrow."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             yield fn(batch)
+        trim_memory()
 
     return df.mapInArrow(run, schema)
 

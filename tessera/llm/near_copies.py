@@ -26,6 +26,8 @@ from tessera.llm.components import components
 WIDTH = 5
 #: Sets sampled for the order of shingles, occurrences there that make a shingle frequent, and how many are broadcast at most.
 SAMPLE, OFTEN, MOST = 20_000, 4, 500_000
+#: Rows of a small table (keys, or shingles that several texts share) that is sent whole instead of shuffling texts or postings.
+FEW = 500_000
 #: Lists above this size are searched from a centre first, in at most that many rounds.
 LARGE, ROUNDS = 16, 2
 FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
@@ -107,10 +109,15 @@ def nodes(spark: SparkSession, docs: DataFrame, late: np.ndarray) -> DataFrame:
     return common.map_batches(_texts(docs), run, "doc_id long, th long, key long, fp long, n int, prefix array<long>")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """The table, to be sent whole if it has at most FEW rows."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
     """key and the whole set (own) of the keys wanted, each from one text that has it."""
     first = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("th").isNull().alias("none"), "th")).alias("f"))
-    first = first.select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
+    first = _small(common.cut_lineage(docs.sparkSession, first.select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))))
     texts = _texts(docs).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,12 +142,12 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # the complete route: lists of the keys that share a prefix shingle
     every = rows.select("key", "n", "prefix").dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "s"))
     every = common.written(spark, every, "postings")
-    lists = every.groupBy("s").agg(F.count("*").alias("many")).where("many > 1")
-    live = every.join(lists, "s")
-    weight = live.groupBy("key").agg(F.sum("many").alias("weight"))  # how much a text shares with others
-    weight = common.cut_lineage(spark, weight)
-    live = common.written(spark, live.drop("many").join(weight, "key"), "lists")
+    lists = _small(common.cut_lineage(spark, every.groupBy("s").agg(F.count("*").alias("many")).where("many > 1")))
+    live = common.written(spark, every.join(lists, "s"), "shared-postings")
     common.drop_written(spark, every)
+    common.release(spark)
+    weight = common.cut_lineage(spark, live.groupBy("key").agg(F.sum("many").alias("weight")))  # how much a text shares with others
+    live = live.drop("many").join(weight, "key")
     sets = common.written(spark, sets_of(docs, rows.select("doc_id", "th", "key"), weight.select("key")), "shingle-sets")
     # the tree's route: sets of one fingerprint, and of linked fingerprints
     reps = common.cut_lineage(spark, rows.groupBy("fp").agg(F.min("key").alias("rep")))
@@ -149,6 +156,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     near = near.unionByName(tree.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("_a")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     size = F.least("n", "m") * 5 >= F.greatest("n", "m") * 4
     links = verified(spark, sets, near)
+    common.release(spark)
     named = common.cut_lineage(spark, _named(spark, live, links))
     tried = None
     for _ in range(ROUNDS):
@@ -174,7 +182,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = links.unionByName(verified(spark, sets, found.select("a", "b")))
     roots = components(spark, links).select(F.col("node").alias("key"), "root")
     out = common.cut_lineage(spark, rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", "key", F.coalesce("root", "key").alias("component")))
-    for t in (live, sets, rows):
+    for t in (sets, rows):
         common.drop_written(spark, t)
     common.release(spark)
     return out

@@ -290,6 +290,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
                 many.append(sum(shared.value.log_e(n, s) <= math.log10(0.05) for _, _, s in segments))
                 scores.append(shared.value.probability(shared.value.evidence(n, segments)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(many, pa.int64()), pa.array(scores, pa.float64())], names=batch.schema.names)
+        common.trim_memory()
 
     return plain.mapInArrow(run, plain.schema)
 
