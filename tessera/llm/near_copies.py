@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, vp_simhash
 from tessera.llm.components import components
+from tessera.llm.suffix_tree_lm import bit_set
 
 WIDTH = 5
 #: Sets sampled for the order of shingles, occurrences there that make a shingle frequent, and how many are broadcast at most.
-SAMPLE, OFTEN, MOST = 20_000, 4, 500_000
-#: Rows of a small table (keys, or shingles that several texts share) that is sent whole instead of shuffling texts or postings.
+SAMPLE, OFTEN, MOST = 20_000, 2, 500_000
+#: Texts whose ids are sent whole instead of shuffling all texts.
 FEW = 500_000
 #: Lists above this size are searched from a centre first, in at most that many rounds.
 LARGE, ROUNDS = 16, 2
@@ -127,35 +128,59 @@ def sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
     return common.map_batches(texts, run, "key long, own array<long>").dropDuplicates(["key"])
 
 
-def verified(spark: SparkSession, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose sets have a Jaccard similarity of 0.8 or more."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = common.cut_lineage(spark, pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = common.written(spark, sets_of(docs, rows.select("doc_id", "th", "key"), keys), "shingle-sets")
     left, right = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return common.cut_lineage(spark, pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    out = common.cut_lineage(spark, pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    common.drop_written(spark, sets)
+    common.release(spark)
+    return out
+
+
+def postings(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """s, key, n and pos of the prefix shingles that several keys share."""
+    own = rows.select("key", "n", "prefix").dropDuplicates(["key"])
+    many = own.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("many")).where("many > 1")
+    many = common.written(spark, many, "shared-shingles")
+    common.release(spark)
+    shared = spark.sparkContext.broadcast(bit_set(many.select(F.col("s").alias("key")), many.count()))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prefix = batch.column(2)
+        flat, offsets = prefix.values.to_numpy(zero_copy_only=False), prefix.offsets.to_numpy()
+        flat = flat[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        at = np.flatnonzero(shared.value.has(flat.astype(np.int64).view(np.uint64)))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(flat)) - (offsets[:-1] - offsets[0])[row]
+        key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(flat[at], pa.int64()), pa.array(key[row[at]], pa.int64()), pa.array(n[row[at]], pa.int32()), pa.array(pos[at].astype(np.int32))], names=["s", "key", "n", "pos"])
+
+    live = common.map_batches(own, run, "s long, key long, n int, pos int")  # but for few, those in the table
+    out = common.written(spark, live.join(many, "s"), "lists")
+    common.drop_written(spark, many)
+    common.release(spark)
+    return out
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, th, key and component (the smallest key of the group) of every row."""
     common.prepare(spark)
     rows = common.written(spark, nodes(spark, docs, frequent(docs, docs.count())), "nodes")
-    # the complete route: lists of the keys that share a prefix shingle
-    every = rows.select("key", "n", "prefix").dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "s"))
-    every = common.written(spark, every, "postings")
-    lists = _small(common.cut_lineage(spark, every.groupBy("s").agg(F.count("*").alias("many")).where("many > 1")))
-    live = common.written(spark, every.join(lists, "s"), "shared-postings")
-    common.drop_written(spark, every)
-    common.release(spark)
+    live = postings(spark, rows)  # the complete route: lists of the keys that share a prefix shingle
     weight = common.cut_lineage(spark, live.groupBy("key").agg(F.sum("many").alias("weight")))  # how much a text shares with others
     live = live.drop("many").join(weight, "key")
-    sets = common.written(spark, sets_of(docs, rows.select("doc_id", "th", "key"), weight.select("key")), "shingle-sets")
     # the tree's route: sets of one fingerprint, and of linked fingerprints
     reps = common.cut_lineage(spark, rows.groupBy("fp").agg(F.min("key").alias("rep")))
     tree = vp_simhash.link(spark, reps.select("fp"))
     near = rows.join(reps, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     near = near.unionByName(tree.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("_a")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     size = F.least("n", "m") * 5 >= F.greatest("n", "m") * 4
-    links = verified(spark, sets, near)
+    links = verified(spark, docs, rows, near)
     common.release(spark)
     named = common.cut_lineage(spark, _named(spark, live, links))
     tried = None
@@ -168,7 +193,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         if not centres.limit(1).count():
             break
         pairs = named.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
-        more = verified(spark, sets, pairs)
+        more = verified(spark, docs, rows, pairs)
         links = links.unionByName(more)
         named = common.cut_lineage(spark, _named(spark, live, links))
         now = centres.join(named.select("s", F.col("key").alias("b"), "root"), ["s", "b"]).select("s", "root")
@@ -179,11 +204,10 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # shared shingles that are not in both prefixes lie behind the one that ends first
     behind = lambda n: F.ceil(4 * F.col(n) / 5) - 1
     found = found.where(9 * (F.col("c") + F.greatest(behind("n"), behind("m"))) >= 4 * (F.col("n") + F.col("m")))
-    links = links.unionByName(verified(spark, sets, found.select("a", "b")))
+    links = links.unionByName(verified(spark, docs, rows, found.select("a", "b")))
     roots = components(spark, links).select(F.col("node").alias("key"), "root")
     out = common.cut_lineage(spark, rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", "key", F.coalesce("root", "key").alias("component")))
-    for t in (sets, rows):
-        common.drop_written(spark, t)
+    common.drop_written(spark, rows)
     common.release(spark)
     return out
 
