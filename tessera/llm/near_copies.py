@@ -3,8 +3,8 @@
 Texts with the same set are one node under a hash of the set. Candidates come from two routes. The vantage-point tree of
 ``vp_simhash`` links fingerprints of the sets at 2 differing bits or fewer; this only joins large groups early. Completeness comes from prefixes:
 under any common order of shingles, two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each. So every
-list of texts that share a prefix shingle is searched. Large lists are searched from a centre first, the text that shares the most with others (the original
-of its edited copies, if it is there), then from the best one that this didn't reach; then all pairs of a list that are not in one group yet, less those whose
+list of texts that share a prefix shingle is searched. Large lists are searched from ``CENTRES`` first, the texts that share the most with others (the original
+of its edited copies, if it is there), then from the best ones that this didn't reach; then all pairs of a list that are not in one group yet, less those whose
 lengths and shared prefix rule the similarity out. Every link is verified on the whole sets. The order puts shingles that are frequent in a hash sample last; order and centres set the
 cost and never the result.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common, vp_simhash
@@ -29,8 +29,8 @@ WIDTH = 5
 SAMPLE, OFTEN, MOST = 20_000, 2, 500_000
 #: Texts whose ids are sent whole instead of shuffling all texts.
 FEW = 500_000
-#: Lists above this size are searched from a centre first, in at most that many rounds.
-LARGE, ROUNDS = 16, 2
+#: Lists above this size are searched from so many centres first, in at most that many rounds.
+LARGE, CENTRES, ROUNDS = 16, 16, 2
 FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -185,18 +185,18 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = common.cut_lineage(spark, _named(spark, live, links))
     tried = None
     for _ in range(ROUNDS):
-        # the best text of every large list, but for those in a group that was searched from in this list before
+        # the best texts of every large list, but for those in a group that was searched from in this list before
         left = named if tried is None else named.join(tried, ["s", "root"], "left_anti")
-        best = left.groupBy("s").agg(F.max(F.struct("weight", "key", "n", "root")).alias("c"))
+        best = left.withColumn("_k", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("weight"), "key"))).where(F.col("_k") <= CENTRES)
         large = named.groupBy("s").agg(F.count("*").alias("many"), F.countDistinct("root").alias("roots")).where((F.col("many") > LARGE) & (F.col("roots") > 1))
-        centres = common.cut_lineage(spark, large.join(best, "s").select("s", F.col("c.key").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("centre")))
+        centres = common.cut_lineage(spark, large.join(best.drop("many", "roots"), "s").select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("centre")))
         if not centres.limit(1).count():
             break
         pairs = named.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
         more = verified(spark, docs, rows, pairs)
         links = links.unionByName(more)
         named = common.cut_lineage(spark, _named(spark, live, links))
-        now = centres.join(named.select("s", F.col("key").alias("b"), "root"), ["s", "b"]).select("s", "root")
+        now = centres.join(named.select("s", F.col("key").alias("b"), "root"), ["s", "b"]).select("s", "root").distinct()
         tried = now if tried is None else tried.unionByName(now)
     other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     found = named.join(other, "s").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & size)
