@@ -27,8 +27,8 @@ from tessera.llm.suffix_tree_lm import bit_set
 WIDTH = 5
 #: Sets sampled for the order of shingles, occurrences there that make a shingle frequent, and how many are broadcast at most.
 SAMPLE, OFTEN, MOST = 20_000, 2, 500_000
-#: Texts whose ids are sent whole instead of shuffling all texts.
-FEW = 500_000
+#: Texts whose ids are sent whole instead of shuffling all texts, and bytes of sets that are sent whole instead of going with every pair.
+FEW, SMALL_SETS = 500_000, 32 << 20
 #: Lists above this size are searched from so many centres first, in at most that many rounds.
 LARGE, CENTRES, ROUNDS = 16, 16, 2
 FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
@@ -132,11 +132,13 @@ def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataF
     """The pairs (a, b) of keys whose sets have a Jaccard similarity of 0.8 or more."""
     pairs = common.cut_lineage(spark, pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = common.written(spark, sets_of(docs, rows.select("doc_id", "th", "key"), keys), "shingle-sets")
+    sets = kept = common.written(spark, sets_of(docs, rows.select("doc_id", "th", "key"), keys), "shingle-sets")
+    if (sets.agg(F.sum(F.size("own"))).first()[0] or 0) * 8 <= SMALL_SETS:
+        sets = F.broadcast(sets)
     left, right = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     out = common.cut_lineage(spark, pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
-    common.drop_written(spark, sets)
+    common.drop_written(spark, kept)
     common.release(spark)
     return out
 
@@ -172,14 +174,17 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     common.prepare(spark)
     rows = common.written(spark, nodes(spark, docs, frequent(docs, docs.count())), "nodes")
     live = postings(spark, rows)  # the complete route: lists of the keys that share a prefix shingle
-    weight = common.cut_lineage(spark, live.groupBy("key").agg(F.sum("many").alias("weight")))  # how much a text shares with others
+    weight = common.cut_lineage(spark, live.groupBy("key").agg(F.sum("many").alias("weight"), F.count("*").alias("own")))  # how much a text shares with others
     live = live.drop("many").join(weight, "key")
     # the tree's route: sets of one fingerprint, and of linked fingerprints
     reps = common.cut_lineage(spark, rows.groupBy("fp").agg(F.min("key").alias("rep")))
     tree = vp_simhash.link(spark, reps.select("fp"))
     near = rows.join(reps, "fp").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     near = near.unionByName(tree.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("_a")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    size = F.least("n", "m") * 5 >= F.greatest("n", "m") * 4
+    # two prefixes share no more than either shares with any; shared shingles that are not in both prefixes lie behind the one that ends first
+    behind = lambda n: F.ceil(4 * F.col(n) / 5) - 1
+    enough = lambda c: 9 * (c + F.greatest(behind("n"), behind("m"))) >= 4 * (F.col("n") + F.col("m"))
+    size = (F.least("n", "m") * 5 >= F.greatest("n", "m") * 4) & enough(F.least("own", "owns"))
     links = verified(spark, docs, rows, near)
     common.release(spark)
     named = common.cut_lineage(spark, _named(spark, live, links))
@@ -189,7 +194,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         left = named if tried is None else named.join(tried, ["s", "root"], "left_anti")
         best = left.withColumn("_k", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("weight"), "key"))).where(F.col("_k") <= CENTRES)
         large = named.groupBy("s").agg(F.count("*").alias("many"), F.countDistinct("root").alias("roots")).where((F.col("many") > LARGE) & (F.col("roots") > 1))
-        centres = common.cut_lineage(spark, large.join(best.drop("many", "roots"), "s").select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("centre")))
+        centres = common.cut_lineage(spark, large.join(best.drop("many", "roots"), "s").select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("root").alias("centre")))
         if not centres.limit(1).count():
             break
         pairs = named.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
@@ -198,12 +203,10 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         named = common.cut_lineage(spark, _named(spark, live, links))
         now = centres.join(named.select("s", F.col("key").alias("b"), "root"), ["s", "b"]).select("s", "root").distinct()
         tried = now if tried is None else tried.unionByName(now)
-    other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("root").alias("other"))
     found = named.join(other, "s").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & size)
     found = found.groupBy(F.col("key").alias("a"), "b", "n", "m").agg(F.count("*").alias("c"))
-    # shared shingles that are not in both prefixes lie behind the one that ends first
-    behind = lambda n: F.ceil(4 * F.col(n) / 5) - 1
-    found = found.where(9 * (F.col("c") + F.greatest(behind("n"), behind("m"))) >= 4 * (F.col("n") + F.col("m")))
+    found = found.where(enough(F.col("c")))
     links = links.unionByName(verified(spark, docs, rows, found.select("a", "b")))
     roots = components(spark, links).select(F.col("node").alias("key"), "root")
     out = common.cut_lineage(spark, rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", "key", F.coalesce("root", "key").alias("component")))
