@@ -39,13 +39,3 @@ def test_query(spark, tables, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["label", "n_tiles"]
-
-
-def test_streamed_counts_equal_the_batch(spark, tmp_path):
-    from tessera.streaming import arrivals
-
-    rows = spark.createDataFrame([(i, f"l{i % 3}") for i in range(30)], "id long, label string")
-    rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = arrivals.label_counts(arrivals.read_arrivals(spark, str(tmp_path / "in"), "id long, label string", 1))
-    arrivals.run_available(stream, "label_counts", str(tmp_path / "state")).awaitTermination(120)
-    assert {(r["label"], r["n"]) for r in spark.table("label_counts").collect()} == {("l0", 10), ("l1", 10), ("l2", 10)}
