@@ -38,8 +38,8 @@ UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s min h hr hrs meter me
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 NUMBER, UNIT, NAME, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
 FIGURES = r"[0-9]+(?:[.,:/][0-9]+)*"
-#: One capitalised word: Alice, O'Neil, Smith-Jones; number words are none.
-CAPITAL = r"(?<![\p{L}\p{N}])(?!(?:" + "|".join(w.capitalize() for w in NUMBER_WORDS.split()) + r")(?![\p{L}]))(?:\p{Lu}['\u2019])?\p{Lu}\p{Ll}+(?:['\u2019-]\p{L}\p{Ll}*)*"
+#: One capitalised word: Alice, O'Neil, Smith-Jones; number words are none. It looks for the capital first, as that fails soonest at most places.
+CAPITAL = r"(?=\p{Lu})(?<![\p{L}\p{N}])(?!(?:" + "|".join(w.capitalize() for w in NUMBER_WORDS.split()) + r")(?![\p{L}]))(?:\p{Lu}['\u2019])?\p{Lu}\p{Ll}+(?:['\u2019-]\p{L}\p{Ll}*)*"
 #: Removed from tokens: what is neither a letter, a digit, white space nor a placeholder.
 NOISE = r"[^\p{L}\p{M}\p{N}\s" + NUMBER + UNIT + NAME + JOINT + "]+"
 SPACE = "[ \t\n\x0b\f\r]+"
