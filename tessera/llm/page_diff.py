@@ -236,60 +236,63 @@ def parsed(pages: DataFrame) -> DataFrame:
     return common.map_batches(rows, run, "page_id long, mark long, url string, host string, path string, lines array<string>, inside array<boolean>, hashes array<long>, sizes array<long>")
 
 
-def neighbours(keys: DataFrame) -> DataFrame:
-    """own, before and after (structs of mark, host, path, hashes, sizes; null at the ends) of every page, sorted by host, path and mark."""
-    own = "mark long, host string, path string, hashes array<long>, sizes array<long>"
-    dealt = keys.select("mark", "host", "path", "hashes", "sizes").repartitionByRange("host", "path", "mark").sortWithinPartitions("host", "path", "mark")
-    plain = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["mark", "host", "path", "hashes", "sizes"]
+def aligned(own: dict, before: dict | None, after: dict | None) -> tuple[int, set[int]] | None:
+    """The partner's mark and the hashes of the shared lines, of the nearest neighbour that is no mirror; None if there is none."""
+    others = [(shared_prefix(own["path"], x["path"]), x) for x in (before, after) if x is not None and x["host"] == own["host"]]
+    for _, partner in sorted(others, key=lambda x: -x[0]):
+        shared = common_lines(own["hashes"], partner["hashes"])
+        if sum(own["sizes"][i] for i in shared) <= MIRROR * sum(own["sizes"]):
+            return partner["mark"], {own["hashes"][i] for i in shared}
+    return None
+
+
+def pairs_of(keys: DataFrame) -> DataFrame:
+    """host and shared (hashes) of every page that a neighbour tells something about, the pages sorted by host, path and mark.
+
+    Pages are aligned where they are sorted, so only what pairs share is kept; the pages at the edges of a partition go on with their lines to meet their neighbours.
+    """
+    names, kinds = ["mark", "host", "path", "hashes", "sizes"], [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    page, shared = pa.struct(list(zip(names, kinds))), pa.list_(pa.int64())
+    dealt = keys.select(*names).repartitionByRange("host", "path", "mark").sortWithinPartitions("host", "path", "mark")
+
+    def told(own: dict, before: dict | None, after: dict | None) -> list[tuple]:
+        found = aligned(own, before, after) if own["hashes"] else None
+        return [(own["host"], sorted(found[1]))] if found else []
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = now = None
 
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*found)) or [()] * 4
-            struct = pa.struct(list(zip(names, plain)))
-            as_dict = lambda r: None if r is None else dict(zip(names, r))
-            return pa.RecordBatch.from_arrays([pa.array([as_dict(r) for r in c], struct) for c in cols[:3]] + [pa.array(cols[3], pa.bool_())], names=["own", "before", "after", "edge"])
+        def rows(inner: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*[(*r, None, None, None) for r in inner], *[(None, None, *r) for r in edges])) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), shared, page, page, page))], names=["host", "shared", "own", "before", "after"])
 
         for batch in it:
-            found = []
-            for after in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if now is not None:
-                    found.append((now, before, after, before is None))
+            inner, edges = [], []
+            for values in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                after = dict(zip(names, values))
+                if now is not None and before is None:
+                    edges.append((now, None, after))
+                elif now is not None:
+                    inner += told(now, before, after)
                 before, now = now, after
-            yield rows(found)
+            yield rows(inner, edges)
         if now is not None:
-            yield rows([(now, before, None, True)])
-
-    struct = f"struct<{own.replace(' ', ':').replace(',:', ',')}>"
-    near = common.cut_lineage(keys.sparkSession, dealt.mapInArrow(run, f"own {struct}, before {struct}, after {struct}, edge boolean"))
-    order = Window.orderBy("own.host", "own.path", "own.mark")  # over two rows a partition
-    edges = near.where("edge").select("own", F.coalesce("before", F.lag("own").over(order)).alias("before"), F.coalesce("after", F.lead("own").over(order)).alias("after"), "edge")
-    return near.where("not edge").unionByName(edges).select("own", "before", "after")
+            yield rows([], [(now, before, None)])
 
+    def edge_pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [r for triple in zip(*(batch.column(i).to_pylist() for i in range(3))) for r in told(*triple)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 2, (pa.string(), shared))], names=["host", "shared"])
 
-def aligned(own: dict, before: dict | None, after: dict | None) -> tuple[int, set[int]] | None:
-    """The partner's mark and the hashes of the shared lines, of the nearest neighbour that is no mirror; None if there is none."""
-    others = [(shared_prefix(own["path"], x["path"]), x) for x in (before, after) if x is not None and x["host"] == own["host"]]
-    for _, partner in sorted(others, key=lambda x: -x[0]):
-        shared = common_lines(own["hashes"], partner["hashes"])
-        if sum(own["sizes"][i] for i in shared) <= MIRROR * sum(own["sizes"]):
-            return partner["mark"], {own["hashes"][i] for i in shared}
-    return None
+    struct = "struct<mark:long,host:string,path:string,hashes:array<long>,sizes:array<long>>"
+    found = common.cut_lineage(keys.sparkSession, dealt.mapInArrow(run, f"host string, shared array<long>, own {struct}, before {struct}, after {struct}"))
+    order = Window.orderBy("own.host", "own.path", "own.mark")  # over two rows a partition
+    edges = found.where("own is not null").select("own", F.coalesce("before", F.lag("own").over(order)).alias("before"), F.coalesce("after", F.lead("own").over(order)).alias("after"))
+    return found.where("own is null").select("host", "shared").unionByName(common.map_batches(edges, edge_pairs, "host string, shared array<long>"))
 
 
 def frames(keys: DataFrame) -> DataFrame:
     """host, hash, pairs that share the line and pairs of the host, of every line that some pair shares."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for own, before, after in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if own["hashes"] and (found := aligned(own, before, after)):
-                out.append((own["host"], sorted(found[1])))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 2, (pa.string(), pa.list_(pa.int64())))], names=["host", "shared"])
-
-    pairs = common.cut_lineage(keys.sparkSession, common.map_batches(neighbours(keys), run, "host string, shared array<long>"))
+    pairs = pairs_of(keys)
     lines = pairs.select("host", F.explode("shared").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pairs"))
     return lines.join(pairs.groupBy("host").agg(F.count("*").alias("all_pairs")), "host")
 
@@ -308,7 +311,8 @@ def main_text(spark: SparkSession, pages: DataFrame, differencing: bool = True)
     rows = common.written(spark, parsed(pages), "pages")
     if not differencing:
         return rows.select("page_id", "url", F.array_join("lines", " ").alias("text"), F.lit(0).cast("long").alias("n_deleted"))
-    gone = deleted_lines(rows).withColumnRenamed("mark", "_mark")
+    # as a table its size is known: Spark sends a small one whole, and shuffles the texts only beside a larger one
+    gone = common.written(spark, deleted_lines(rows).withColumnRenamed("mark", "_mark"), "deleted-lines")
     left = F.filter("lines", lambda _, i: ~F.coalesce(F.array_contains("deleted", i), F.lit(False)))
     out = rows.join(gone, F.col("mark") == F.col("_mark"), "left")
     return out.select("page_id", "url", F.array_join(left, " ").alias("text"), F.coalesce(F.size("deleted"), F.lit(0)).cast("long").alias("n_deleted"))
