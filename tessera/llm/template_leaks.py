@@ -37,9 +37,10 @@ UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s min h hr hrs meter me
 #: Words that are numbers.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 NUMBER, UNIT, NAME, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
-FIGURES = r"[0-9]+(?:[.,:/][0-9]+)*"
+#: Loops over groups are possessive here and below: nothing that follows them can match where they give back, and Java recurses for other loops, so that a long run would exhaust a task's stack and end its executor.
+FIGURES = r"[0-9]+(?:[.,:/][0-9]+)*+"
 #: One capitalised word: Alice, O'Neil, Smith-Jones; number words are none. It looks for the capital first, as that fails soonest at most places.
-CAPITAL = r"(?=\p{Lu})(?<![\p{L}\p{N}])(?!(?:" + "|".join(w.capitalize() for w in NUMBER_WORDS.split()) + r")(?![\p{L}]))(?:\p{Lu}['\u2019])?\p{Lu}\p{Ll}+(?:['\u2019-]\p{L}\p{Ll}*)*"
+CAPITAL = r"(?=\p{Lu})(?<![\p{L}\p{N}])(?!(?:" + "|".join(w.capitalize() for w in NUMBER_WORDS.split()) + r")(?![\p{L}]))(?:\p{Lu}['\u2019])?\p{Lu}\p{Ll}+(?:['\u2019-]\p{L}\p{Ll}*)*+"
 #: Removed from tokens: what is neither a letter, a digit, white space nor a placeholder.
 NOISE = r"[^\p{L}\p{M}\p{N}\s" + NUMBER + UNIT + NAME + JOINT + "]+"
 SPACE = "[ \t\n\x0b\f\r]+"
@@ -68,8 +69,8 @@ def value_tokens(text: Column) -> Column:
 def template_tokens(text: Column) -> Column:
     """Tokens with placeholders for numbers, units and names."""
     units = "|".join(UNITS.split())
-    named = F.regexp_replace(joined_names(text), f"{CAPITAL}(?:{JOINT}{CAPITAL})*", NAME)
-    slots = F.regexp_replace(named, FIGURES + rf"(\s+)(?:{units})(?![\p{{L}}\p{{N}}])", NUMBER + "$1" + UNIT)
+    named = F.regexp_replace(joined_names(text), f"{CAPITAL}(?:{JOINT}{CAPITAL})*+", NAME)
+    slots = F.regexp_replace(named, r"(?<![0-9])(?<![0-9][.,:/])" + FIGURES + rf"(\s+)(?:{units})(?![\p{{L}}\p{{N}}])", NUMBER + "$1" + UNIT)
     slots = F.regexp_replace(slots, FIGURES, NUMBER)
     return F.transform(_tokens(F.when(text.rlike("[0-9]"), slots).otherwise(named)), lambda t: F.when(t.isin(*NUMBER_WORDS.split()), F.lit(NUMBER)).otherwise(t))
 
@@ -148,6 +149,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     ``th`` is a hash of the text: together with the id it names a document.
     """
     bench = common.cut_lineage(spark, benchmark_windows(items))
+    common.release(spark)
     sizes = bench.groupBy("literal", "width").agg(F.count("*").alias("n")).collect()
     small = sum(r["n"] for r in sizes) <= BROADCAST_ROWS
     rows = _texts(docs)
@@ -161,6 +163,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
             found.append(places.join(F.broadcast(keys) if small else keys, "h", "left_semi"))
     none = rows.limit(0).select(*DOC, F.lit(True).alias("literal"), F.lit(0).alias("width"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h"))
     places = common.written(spark, reduce(DataFrame.unionByName, found, none), "leak-places")
+    common.release(spark)
     key = ["literal", "width", "h"]
     keys = bench.select(*key, "item_id", "at", "n_usable", "n_slots")
     distinct = places.select(*DOC, *key).distinct()

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import regex
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, prose, with_clashes
 from tessera.llm import template_leaks as tl
@@ -234,3 +235,10 @@ def test_variants_of_one_question_are_one_class(spark):
     assert bench.where("not literal").select("item_id").distinct().count() <= 4
     got = tl.leaking_documents(spark, docs(spark, [questions[250], questions[7].replace("7", "7000")]), items).collect()
     assert {r["doc_id"] for r in got} == {0, 1} and all(r["n_items"] <= 8 for r in got)
+
+
+def test_long_runs_do_not_exhaust_the_stack(spark):
+    titles, figures, hyphens = " ".join(["Alice"] * 5000), ",".join(["12"] * 5000), "Alice" + "-Bob" * 5000
+    frame = docs(spark, [f"They saw {titles} there", f"They saw {figures} km there", f"They saw {hyphens} there"])
+    found = {r["doc_id"]: r["t"] for r in frame.select("doc_id", tl.template_tokens(F.col("text")).alias("t")).collect()}
+    assert [found[i] for i in sorted(found)] == [[tl.NAME, "saw", *mid, "there"] for mid in ([tl.NAME], [tl.NUMBER, tl.UNIT], [tl.NAME])]
