@@ -3,9 +3,10 @@
 Texts with the same set are one node under a hash of the set. Candidates come from two routes. The vantage-point tree of
 ``vp_simhash`` links fingerprints of the sets at 2 differing bits or fewer; this only joins large groups early. Completeness comes from prefixes:
 under any common order of shingles, two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each. So every
-list of texts that share a prefix shingle is searched. Large lists are searched from ``CENTRES`` first, the texts that share the most with others (the original
+list of texts that share a prefix shingle is searched; shingles that the very same texts share are searched once. A few lists of each text, chosen by hash, are searched
+from one text each, which closes most groups at a few rows a text; then only lists with texts of several groups are left. Large lists are searched from ``CENTRES`` first, the texts that share the most with others (the original
 of its edited copies, if it is there), then from the best ones that this didn't reach; then all pairs of a list that are not in one group yet, less those whose
-lengths and shared prefix rule the similarity out. Every link is verified on the whole sets. The order puts shingles that are frequent in a hash sample last; order and centres set the
+lengths and shared prefix rule the similarity out. Every link is verified on the whole sets, but for pairs that 1024 parities of the sets rule out (where sets are too large to be sent whole, they would go with every pair). The order puts shingles that are frequent in a hash sample last; order and centres set the
 cost and never the result.
 
 Nulls: a null text is empty, and empty texts are copies of each other. Texts of fewer than 5 words are one shingle. Repeated rows and null ids are nodes by their sets like any other. An
@@ -14,10 +15,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common, vp_simhash
@@ -31,6 +34,10 @@ SAMPLE, OFTEN, MOST = 20_000, 2, 500_000
 FEW, SMALL_SETS = 500_000, 32 << 20
 #: Lists above this size are searched from so many centres first, in at most that many rounds.
 LARGE, CENTRES, ROUNDS = 16, 16, 2
+#: Before that, so many lists of each text are searched from one centre, in so many rounds.
+PICKED, QUICK_ROUNDS = 4, 1
+#: Bits of the parities that rule most pairs out before whole sets go with them.
+PARITIES = 1024
 FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -53,6 +60,11 @@ def key_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), 42)
 
 
+def parities_of(own: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each of PARITIES bits, modulo 2; those of two sets differ in no more bits than the sets differ in shingles."""
+    return np.packbits((np.bincount((own & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def fingerprint_of(own: np.ndarray) -> int:
     if not len(own):
         return 0
@@ -116,16 +128,24 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and the whole set (own) of the keys wanted, each from one text that has it."""
+    """key, the whole set (own) and its parities of the keys wanted, each from one text that has it."""
     first = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("th").isNull().alias("none"), "th")).alias("f"))
     first = _small(common.cut_lineage(docs.sparkSession, first.select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))))
     texts = _texts(docs).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in common.bytes_of(batch.column(2))]
-        return pa.RecordBatch.from_arrays([_longs([key_of(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "own"])
+        return pa.RecordBatch.from_arrays([_longs([key_of(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities_of(s) for s in sets], pa.list_(pa.int64()))], names=["key", "own", "parities"])
+
+    return common.map_batches(texts, run, "key long, own array<long>, parities array<long>").dropDuplicates(["key"])
 
-    return common.map_batches(texts, run, "key long, own array<long>").dropDuplicates(["key"])
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sets' parities do not rule out: at a similarity of 0.8, sets differ in a ninth of their shingles together at most."""
+    few = sets.select("key", F.size("own").alias("n"), "parities")
+    left, right = few.select(F.col("key").alias("a"), "n", F.col("parities").alias("x")), few.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("parities").alias("y"))
+    differ = reduce(Column.__add__, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(PARITIES // 64)])
+    return pairs.join(left, "a").join(right, "b").where(9 * differ <= F.col("n") + F.col("m")).select("a", "b")
 
 
 def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -135,6 +155,8 @@ def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataF
     sets = kept = common.written(spark, sets_of(docs, rows.select("doc_id", "th", "key"), keys), "shingle-sets")
     if (sets.agg(F.sum(F.size("own"))).first()[0] or 0) * 8 <= SMALL_SETS:
         sets = F.broadcast(sets)
+    else:
+        pairs = common.cut_lineage(spark, possible(pairs, sets))
     left, right = sets.select(F.col("key").alias("a"), F.col("own").alias("x")), sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     out = common.cut_lineage(spark, pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
@@ -144,7 +166,7 @@ def verified(spark: SparkSession, docs: DataFrame, rows: DataFrame, pairs: DataF
 
 
 def postings(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """s, key, n and pos of the prefix shingles that several keys share."""
+    """s, key, n, many (keys in the list) and times of the prefix shingles that several keys share; shingles that the very same keys share are one list, ``times`` of them."""
     own = rows.select("key", "n", "prefix").dropDuplicates(["key"])
     many = own.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("many")).where("many > 1")
     many = common.written(spark, many, "shared-shingles")
@@ -158,23 +180,34 @@ def postings(spark: SparkSession, rows: DataFrame) -> DataFrame:
         sizes = np.diff(offsets)
         at = np.flatnonzero(shared.value.has(flat.astype(np.int64).view(np.uint64)))
         row = np.repeat(np.arange(len(sizes)), sizes)
-        pos = np.arange(len(flat)) - (offsets[:-1] - offsets[0])[row]
         key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(flat[at], pa.int64()), pa.array(key[row[at]], pa.int64()), pa.array(n[row[at]], pa.int32()), pa.array(pos[at].astype(np.int32))], names=["s", "key", "n", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(flat[at], pa.int64()), pa.array(key[row[at]], pa.int64()), pa.array(n[row[at]], pa.int32())], names=["s", "key", "n"])
 
-    live = common.map_batches(own, run, "s long, key long, n int, pos int")  # but for few, those in the table
-    out = common.written(spark, live.join(many, "s"), "lists")
+    live = common.map_batches(own, run, "s long, key long, n int")  # but for few, those in the table
+    lists = common.written(spark, live.join(many, "s"), "lists")
     common.drop_written(spark, many)
     common.release(spark)
+    members = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]  # equal if the keys are, by 128 bits of hashes
+    alike = lists.groupBy("s", "many").agg(*members).groupBy("many", "x1", "x2").agg(F.min("s").alias("s"), F.count("*").alias("times"))
+    out = common.written(spark, lists.join(alike.select("s", "times"), "s"), "classes")
+    common.drop_written(spark, lists)
+    common.release(spark)
     return out
 
 
+def contested(named: DataFrame) -> DataFrame:
+    """The lists that hold texts of several groups; ``own`` is how many of a text's prefix shingles they stand for, so no text of another group shares more."""
+    several = named.groupBy("s").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("s")
+    left = named.join(several, "s", "left_semi").drop("own")
+    return left.join(left.groupBy("key").agg(F.sum("times").alias("own")), "key")
+
+
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, th, key and component (the smallest key of the group) of every row."""
     common.prepare(spark)
     rows = common.written(spark, nodes(spark, docs, frequent(docs, docs.count())), "nodes")
     live = postings(spark, rows)  # the complete route: lists of the keys that share a prefix shingle
-    weight = common.cut_lineage(spark, live.groupBy("key").agg(F.sum("many").alias("weight"), F.count("*").alias("own")))  # how much a text shares with others
+    weight = common.cut_lineage(spark, live.groupBy("key").agg(F.sum(F.col("many") * F.col("times")).alias("weight")))  # how much a text shares with others
     live = live.drop("many").join(weight, "key")
     # the tree's route: sets of one fingerprint, and of linked fingerprints
     reps = common.cut_lineage(spark, rows.groupBy("fp").agg(F.min("key").alias("rep")))
@@ -187,7 +220,15 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = (F.least("n", "m") * 5 >= F.greatest("n", "m") * 4) & enough(F.least("own", "owns"))
     links = verified(spark, docs, rows, near)
     common.release(spark)
-    named = common.cut_lineage(spark, _named(spark, live, links))
+    named = common.cut_lineage(spark, contested(_named(spark, live, links)))
+    for k in range(QUICK_ROUNDS):
+        # near copies agree on most of the lists that a hash picks: most groups close by a few rows a text, instead of a row for each list that two texts share
+        picked = named.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("s", F.lit(k)), "s"))).where(F.col("_k") <= PICKED)
+        centre = F.max(F.struct("weight", F.col("key").alias("b"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("root").alias("centre"))).alias("c")
+        centres = picked.groupBy("s").agg(centre).select("s", "c.b", "c.m", "c.owns", "c.centre")
+        pairs = picked.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
+        links = links.unionByName(verified(spark, docs, rows, pairs))
+        named = common.cut_lineage(spark, contested(_named(spark, live, links)))
     tried = None
     for _ in range(ROUNDS):
         # the best texts of every large list, but for those in a group that was searched from in this list before
@@ -200,12 +241,12 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         pairs = named.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
         more = verified(spark, docs, rows, pairs)
         links = links.unionByName(more)
-        named = common.cut_lineage(spark, _named(spark, live, links))
+        named = common.cut_lineage(spark, contested(_named(spark, live, links)))
         now = centres.join(named.select("s", F.col("key").alias("b"), "root"), ["s", "b"]).select("s", "root").distinct()
         tried = now if tried is None else tried.unionByName(now)
     other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("root").alias("other"))
     found = named.join(other, "s").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("other")) & size)
-    found = found.groupBy(F.col("key").alias("a"), "b", "n", "m").agg(F.count("*").alias("c"))
+    found = found.groupBy(F.col("key").alias("a"), "b", "n", "m").agg(F.sum("times").alias("c"))
     found = found.where(enough(F.col("c")))
     links = links.unionByName(verified(spark, docs, rows, found.select("a", "b")))
     roots = components(spark, links).select(F.col("node").alias("key"), "root")
