@@ -31,7 +31,9 @@ WIDTH = 5
 #: Sets sampled for the order of shingles, occurrences there that make a shingle frequent, and how many are broadcast at most.
 SAMPLE, OFTEN, MOST = 20_000, 2, 500_000
 #: Texts whose ids are sent whole instead of shuffling all texts, and bytes of sets that are sent whole instead of going with every pair.
-FEW, SMALL_SETS = 500_000, 32 << 20
+FEW, SMALL_SETS = 500_000, 8 << 20
+#: Links whose groups are found in one task.
+ALONE = 1_000_000
 #: Lists above this size are searched from so many centres first, in at most that many rounds.
 LARGE, CENTRES, ROUNDS = 16, 16, 2
 #: Before that, so many lists of each text are searched from one centre, in so many rounds.
@@ -197,9 +199,9 @@ def postings(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def contested(named: DataFrame) -> DataFrame:
     """The lists that hold texts of several groups; ``own`` is how many of a text's prefix shingles they stand for, so no text of another group shares more."""
-    several = named.groupBy("s").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("s")
-    left = named.join(several, "s", "left_semi").drop("own")
-    return left.join(left.groupBy("key").agg(F.sum("times").alias("own")), "key")
+    of_list = Window.partitionBy("s")
+    several = named.drop("own").withColumn("_lo", F.min("root").over(of_list)).withColumn("_hi", F.max("root").over(of_list)).where("_lo <> _hi").drop("_lo", "_hi")
+    return several.withColumn("own", F.sum("times").over(Window.partitionBy("key")))
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -228,7 +230,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         centres = picked.groupBy("s").agg(centre).select("s", "c.b", "c.m", "c.owns", "c.centre")
         pairs = picked.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
         links = links.unionByName(verified(spark, docs, rows, pairs))
-        named = common.cut_lineage(spark, contested(_named(spark, live, links)))
+        named = common.cut_lineage(spark, contested(_named(spark, named, links)))
     tried = None
     for _ in range(ROUNDS):
         # the best texts of every large list, but for those in a group that was searched from in this list before
@@ -241,7 +243,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         pairs = named.join(centres, "s").where((F.col("root") != F.col("centre")) & size).select(F.col("key").alias("a"), "b")
         more = verified(spark, docs, rows, pairs)
         links = links.unionByName(more)
-        named = common.cut_lineage(spark, contested(_named(spark, live, links)))
+        named = common.cut_lineage(spark, contested(_named(spark, named, links)))
         now = centres.join(named.select("s", F.col("key").alias("b"), "root"), ["s", "b"]).select("s", "root").distinct()
         tried = now if tried is None else tried.unionByName(now)
     other = named.select("s", F.col("key").alias("b"), F.col("n").alias("m"), F.col("own").alias("owns"), F.col("root").alias("other"))
@@ -249,7 +251,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = found.groupBy(F.col("key").alias("a"), "b", "n", "m").agg(F.sum("times").alias("c"))
     found = found.where(enough(F.col("c")))
     links = links.unionByName(verified(spark, docs, rows, found.select("a", "b")))
-    roots = components(spark, links).select(F.col("node").alias("key"), "root")
+    roots = components(spark, links, ALONE).select(F.col("node").alias("key"), "root")
     out = common.cut_lineage(spark, rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", "key", F.coalesce("root", "key").alias("component")))
     common.drop_written(spark, rows)
     common.release(spark)
@@ -257,6 +259,6 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _named(spark: SparkSession, live: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists with the group that each text is in so far."""
-    roots = components(spark, links).select(F.col("node").alias("key"), "root")
-    return live.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    """The lists with the group that each text is in so far; groups only grow, so lists of one group need not come back."""
+    roots = components(spark, links, ALONE).select(F.col("node").alias("key"), "root")
+    return live.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

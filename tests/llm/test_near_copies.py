@@ -80,6 +80,7 @@ def test_only_lists_with_texts_of_several_groups_are_searched(spark):
     named = spark.createDataFrame([(1, 10, 3, 10), (1, 11, 3, 10), (2, 10, 2, 10), (2, 12, 2, 12), (3, 11, 5, 10), (3, 12, 5, 12), (3, 13, 5, 13)], "s long, key long, times long, root long")
     rows = nc.contested(named).select("s", "key", "own").collect()
     assert sorted(map(tuple, rows)) == [(2, 10, 2), (2, 12, 7), (3, 11, 5), (3, 12, 7), (3, 13, 5)]
+    assert "Join" not in nc.contested(named)._jdf.queryExecution().optimizedPlan().toString()  # the lists' rows are read once, and none is made twice
 
 
 def test_parities_rule_out_most_pairs_and_no_link(spark):

@@ -51,6 +51,16 @@ def test_components_follow_chains(spark):
     assert components(spark, edges.limit(0)).count() == 0
 
 
+def test_few_edges_are_labelled_in_one_task_as_in_rounds(spark):
+    rng = np.random.default_rng(17)
+    pairs = [*rng.integers(-300, 300, (260, 2)).tolist(), *[(i, i + 1) for i in range(1000, 1040)], *[(3000 - i, 2000) for i in range(30)], (7, 7)]
+    edges = spark.createDataFrame([tuple(p) for p in pairs], "a long, b long")
+    want = sorted(map(tuple, components(spark, edges).collect()))
+    assert sorted(map(tuple, components(spark, edges, 10**6).collect())) == want
+    assert sorted(map(tuple, components(spark, edges, 5).collect())) == want
+    assert components(spark, edges.limit(0), 10**6).count() == 0
+
+
 def test_groups_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vs, "LEAF", 8)
     rng = random.Random(13)
